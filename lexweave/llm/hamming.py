@@ -59,7 +59,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = Non
         flipped = F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")
         probes = open_q.select(F.col("code").alias("q"), F.posexplode(F.array(*[F.expr(value(s)) for s in range(m)])).alias("seg", "own"))
         probes = probes.select("q", "seg", "own", flipped).select("q", "seg", F.expr("own ^ flip").alias("val"))
-        met = index.join(probes, ["seg", "val"]).select("q", "code", "ids", F.expr("cast(bit_count(q ^ code) as int)").alias("d"))
+        met = index.hint("merge").join(probes, ["seg", "val"]).select("q", "code", "ids", F.expr("cast(bit_count(q ^ code) as int)").alias("d"))
         met = met.groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("d").alias("d")).select("q", F.explode("ids").alias("id"), "d")
         both = best.unionByName(met).distinct()
         best = work.table(both.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("_r") <= k).drop("_r"), f"best{r + 1}")
