@@ -2,9 +2,10 @@
 
 Equal lines are collapsed first. A line's shingles are the runs of ``WIDTH`` characters that begin at its words (so they move
 with inserted text); its signature holds the smallest of ``ROWS`` x ``BANDS`` hashes of them. Lines that agree on all rows of a
-band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of 1000 cases, and surer ones less. In each band's
-bucket every line is compared with the bucket's first by the exact Jaccard similarity of their shingles; lines that are not
-joined by that are compared with each other. Links are closed by distributed union-find, and of each component the first line
+band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of 1000 cases, and surer ones less. In each round
+every line of a band's bucket is compared with one of them by the exact Jaccard similarity of their shingles, unless links
+join both already; after some rounds, lines of a bucket that are still apart are compared if they share one of their rarest
+shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line
 (by document, then place) stays.
 """
 
@@ -16,23 +17,32 @@ from pyspark.sql import functions as F
 from .common import Workspace, connected_components, small
 
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 4, 12, 0.8
-#: Lines with fewer letters and digits than this are never called duplicates: short phrases recur in any text.
+#: Shorter lines (in characters) are never called duplicates: short phrases recur in any text.
 MIN_CHARS = 20
+#: Rounds in which each bucket's lines are compared with one of them, another in each band and round.
+ROUNDS = 3
 
 
-def normal(line):
-    """Lower-cased, with runs of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
-
-
-def shingles(norm):
-    return F.regexp_extract_all(norm, F.lit(f"(?=([^ ].{{0,{WIDTH - 1}}}))[^ ]+ ?"), F.lit(1))
+def shingles(line):
+    """Runs of WIDTH characters (fewer at the end) that begin at the words of the lower-cased line."""
+    return F.regexp_extract_all(F.lower(line), F.lit(f"(?=([^ ].{{0,{WIDTH - 1}}}))[^ ]+ ?"), F.lit(1))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_doc, _key, _no, line, norm) of every line that can be a duplicate; _key tells documents apart that share an id."""
+    """(_doc, _key, _no, line, line_id) of every line that can be a duplicate; _key tells documents apart that share an id."""
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.posexplode(F.split(text_col, "\n")).alias("_no", "line"))
-    return d.withColumn("norm", normal(F.col("line"))).where(F.length(F.translate("norm", " ", "")) >= MIN_CHARS)
+    return d.where(F.length("line") >= MIN_CHARS).withColumn("line_id", F.xxhash64("line"))
+
+
+def constants() -> list[int]:
+    """One constant for each hash of a signature. The hash of a shingle, exclusive-or a constant, orders shingles as a permutation
+    would; the constants of a band are far apart in their first bits, so that its rows choose separately."""
+    out, x = [], 0x243F6A8885A308D3
+    for i in range(ROWS * BANDS):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        word = (i % ROWS) << 62 | (((i // ROWS) * 11 + 3) % 16) << 58 | x >> 6
+        out.append(word - (1 << 64) if word >> 63 else word)
+    return out
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -43,40 +53,56 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the lines ``left`` (line_id, root) with other roots that can reach the similarity: a pair that does shares one
+    of the rarest shingles of each, of n shingles the first n - ceil(threshold n) + 1. None that does is missed."""
+    each = work.table(left.join(texts, "line_id").select("line_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "rest")
+    rare = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = each.join(rare, "shingle").groupBy("line_id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by"))
+    head = ranked.select("line_id", "root", "n", F.explode(F.expr(f"slice(by, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("x")).where("x.df > 1")
+    head = work.table(head.select("line_id", "root", "n", F.xxhash64("x.shingle").alias("key")), "heads_left")
+    a, b = (head.select("key", F.col("line_id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    fits = (F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    return a.join(b, (a["key"] == b["key"]) & fits).select("a", "b")
+
+
 def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
-    at = lines(docs, id_col, text_col).withColumn("line_id", F.xxhash64("norm"))
-    place = F.struct("_doc", "_key", "_no")
-    distinct = at.groupBy("line_id").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm"))
-    cut = distinct.select("line_id", "first", "n", F.explode(shingles(F.col("norm"))).alias("shingle"))
-    hashes = [F.xxhash64("shingle", F.lit(i)) for i in range((ROWS * BANDS + 1) // 2)]
-    halves = [h for x in hashes for h in (F.shiftright(x, 32), x.bitwiseAND(0xFFFFFFFF))][: ROWS * BANDS]
-    signed = cut.groupBy("line_id").agg(F.first("first").alias("first"), F.first("n").alias("n"), *[F.min(h).alias(f"m{i}") for i, h in enumerate(halves)])
+    at = work.table(lines(docs, id_col, text_col).select("_doc", "_key", "_no", "line_id"), "at")
+    distinct = lines(docs, id_col, text_col).groupBy("line_id").agg(F.first("line").alias("line"))
+    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("h"))
+    signed = cut.groupBy("line_id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c).cast("long"))).alias(f"m{i}") for i, c in enumerate(constants())])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    known = work.table(signed.select("line_id", "first", "n", bands.alias("bands")), "lines")
+    known = work.table(signed.select("line_id", bands.alias("bands")), "lines")
 
     entry = known.select("line_id", F.explode("bands").alias("band"))
-    heads = entry.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    members = work.table(entry.join(small(work.table(heads, "heads")), "band").select("band", "head", "line_id"), "members")
+    heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
-    texts = lines(docs, id_col, text_col).select(F.xxhash64("norm").alias("line_id"), "norm").join(small(wanted), "line_id", "left_semi")
-    texts = texts.groupBy("line_id").agg(F.min("norm").alias("norm")).select("line_id", F.array_distinct(shingles(F.col("norm"))).alias("shingles"))
+    texts = lines(docs, id_col, text_col).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
+    texts = texts.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.array_distinct(shingles(F.col("line"))).alias("shingles"))
     texts = work.table(texts, "texts")
-    star = members.where("head <> line_id").select(F.col("head").alias("a"), F.col("line_id").alias("b")).distinct()
-    first = work.table(similar(star, texts, threshold), "stars")
-    root = work.table(connected_components(work, first, "cc1"), "roots1")
-
-    placed = work.table(members.join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root")), "placed")
-    split = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("band"), "split")
-    rest = work.table(placed.join(small(split), "band", "left_semi"), "rest")
-    left, right = (rest.select("band", F.col("line_id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    cross = left.join(right, "band").where("ra < rb").select("a", "b").distinct()
-    more = work.table(similar(cross, texts, threshold), "cross")
-    if not more.isEmpty():
-        root = work.table(connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc2"), "roots2")
+
+    root = work.table(wanted.select(F.col("line_id").alias("node"), F.col("line_id").alias("root")).where("false"), "roots0")
+    chain = lambda: root.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    for i in range(1, ROUNDS + 2):
+        placed = members.join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+        split = placed.groupBy("band").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr(f"min_by(struct(line_id as a, root as ra), xxhash64(line_id, band, {i}))").alias("head")
+        ).where("lo < hi").select("band", "head.a", "head.ra")
+        split = work.table(split, f"split{i}")
+        if i <= ROUNDS:
+            pairs = placed.join(small(split), "band").where("root <> ra").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b"))
+        else:
+            lines_left = placed.join(small(split.select("band")), "band", "left_semi").select("line_id", "root").distinct()
+            pairs = sharing(work, lines_left, texts, threshold)
+        found = work.table(similar(pairs.distinct(), texts, threshold), f"links{i}")
+        if not found.isEmpty():
+            root = work.table(connected_components(work, chain().unionByName(found), f"cc{i}"), f"roots{i}")
 
     # each component's first place; lines without a component are their own
-    many = known.select("line_id", "first", "n").join(small(root), F.col("line_id") == F.col("node"), "left")
+    first = at.groupBy("line_id").agg(F.min(F.struct("_doc", "_key", "_no")).alias("first"), F.count("*").alias("n"))
+    many = first.join(small(root), F.col("line_id") == F.col("node"), "left")
     many = work.table(many.where("n > 1 or root is not null").select("line_id", "first", F.coalesce("root", "line_id").alias("root")), "many")
     kept = many.groupBy("root").agg(F.min("first").alias("kept"))
     names = work.table(many.join(kept, "root").select("line_id", "kept"), "kept")
@@ -87,7 +113,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
 def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and n_lines, n_dropped beside its columns (one row for each).
 
-    Lines are what line feeds part; a line stays if it has under MIN_CHARS letters and digits, or is its component's first (by id,
+    Lines are what line feeds part; a line stays if it is shorter than MIN_CHARS, or is its component's first (by id,
     a hash of the text, number; null ids first). Rows that repeat both id and text are one document: they lose the same lines. A
     null text has no lines and stays null; a text whose lines all go becomes empty. Other columns stay as they are, but for ones
     named n_lines or n_dropped, which are replaced. Empty in, empty out. No row is dropped.
@@ -99,7 +125,7 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id"
     d = d.join(small(gone, 300_000), (d[id_col].eqNullSafe(gone["_doc"])) & (d["_k"] == gone["_key"]), "left")
     every = F.split(text_col, "\n")
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
 
