@@ -54,20 +54,25 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = Non
     open_q = work.table(asked.select("code").distinct(), "open0")
     best = work.table(open_q.select(F.col("code").alias("q"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("d")).where("false"), "best0")
     done = []
-    for r in range(width + 1):
+    # (radius, segments): small radii at once, larger ones a segment at a time, as each is dearer than all before
+    steps = [(r, segs) for r in range(width + 1) for segs in ([range(m)] if r < 2 else [[s] for s in range(m)])]
+    for i, (r, segs) in enumerate(steps):
+        covered = m * r + segs[-1] + 1  # codes nearer than this have been met
         flips = [sum(1 << b for b in c) for c in combinations(range(width), r)]
         flipped = F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")
-        probes = open_q.select(F.col("code").alias("q"), F.posexplode(F.array(*[F.expr(value(s)) for s in range(m)])).alias("seg", "own"))
-        probes = probes.select("q", "seg", "own", flipped).select("q", "seg", F.expr("own ^ flip").alias("val"))
+        own = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.expr(value(s)).alias("val")) for s in segs])).alias("own")
+        probes = open_q.select(F.col("code").alias("q"), own).select("q", "own", flipped).select("q", F.col("own.seg").alias("seg"), F.expr("own.val ^ flip").alias("val"))
         met = index.hint("merge").join(probes, ["seg", "val"]).select("q", "code", "ids", F.expr("cast(bit_count(q ^ code) as int)").alias("d"))
-        met = met.groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("d").alias("d")).select("q", F.explode("ids").alias("id"), "d")
-        both = best.unionByName(met).distinct()
-        best = work.table(both.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("_r") <= k).drop("_r"), f"best{r + 1}")
+        # of the codes, the k first by distance and smallest id hold the k first rows
+        met = met.groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("d").alias("d"))
+        met = met.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", F.col("ids")[0]))).where(F.col("_r") <= k)
+        both = best.unionByName(met.select("q", F.explode("ids").alias("id"), "d")).distinct()
+        best = work.table(both.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("_r") <= k).drop("_r"), f"best{i + 1}")
         have = best.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
-        sure = have.where((F.col("n") >= k) & (F.col("far") < m * (r + 1)) | F.lit(r == width))
-        sure = work.table(sure.select("q"), f"sure{r}")
+        sure = have.where((F.col("n") >= k) & (F.col("far") < covered) | F.lit(i == len(steps) - 1))
+        sure = work.table(sure.select("q"), f"sure{i}")
         done.append(best.join(small(sure), "q", "left_semi"))
-        open_q = work.table(open_q.join(small(sure), open_q.code == sure.q, "left_anti"), f"open{r + 1}")
+        open_q = work.table(open_q.join(small(sure), open_q.code == sure.q, "left_anti"), f"open{i + 1}")
         if open_q.isEmpty():
             break
         best = best.join(small(sure), "q", "left_anti")
