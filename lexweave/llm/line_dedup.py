@@ -46,7 +46,7 @@ def constants() -> list[int]:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, shingles)."""
+    """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, shingles), 64-bit hashes."""
     left = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(texts.select(F.col("line_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -54,16 +54,19 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the lines ``left`` (line_id, root) with other roots that can reach the similarity: a pair that does shares one
-    of the rarest shingles of each, of n shingles the first n - ceil(threshold n) + 1. None that does is missed."""
+    """Pairs (a, b) of the lines ``left`` (line_id, root) with other roots that can reach the similarity, none that does missed.
+
+    Such a pair shares one of the rarest shingles of each: of n shingles, in order of frequency, the first n - ceil(threshold n) + 1.
+    Where the first shared one stands in both bounds how many can be shared, which drops most pairs before they are made."""
     each = work.table(left.join(texts, "line_id").select("line_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "rest")
     rare = each.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = each.join(rare, "shingle").groupBy("line_id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by"))
-    head = ranked.select("line_id", "root", "n", F.explode(F.expr(f"slice(by, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("x")).where("x.df > 1")
-    head = work.table(head.select("line_id", "root", "n", F.xxhash64("x.shingle").alias("key")), "heads_left")
-    a, b = (head.select("key", F.col("line_id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    fits = (F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    return a.join(b, (a["key"] == b["key"]) & fits).select("a", "b")
+    head = ranked.select("line_id", "root", "n", F.posexplode(F.expr(f"slice(by, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")).alias("at", "x")).where("x.df > 1")
+    head = work.table(head.select("line_id", "root", "n", "at", F.col("x.shingle").alias("key")), "heads_left")
+    a, b = (head.select("key", F.col("line_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "at"))) for x in "ab")
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return a.join(b, (a["key"] == b["key"]) & (F.col("root_a") < F.col("root_b")) & fits).select("a", "b")
 
 
 def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +83,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
     texts = lines(docs, id_col, text_col).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
-    texts = texts.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.array_distinct(shingles(F.col("line"))).alias("shingles"))
+    texts = texts.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("shingles"))
     texts = work.table(texts, "texts")
 
     root = work.table(wanted.select(F.col("line_id").alias("node"), F.col("line_id").alias("root")).where("false"), "roots0")
@@ -88,8 +91,8 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     for i in range(1, ROUNDS + 2):
         placed = members.join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
         split = placed.groupBy("band").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr(f"min_by(struct(line_id as a, root as ra), xxhash64(line_id, band, {i}))").alias("head")
-        ).where("lo < hi").select("band", "head.a", "head.ra")
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.expr(f"min_by(struct(line_id as a, root as ra), xxhash64(line_id, band, {i}))").alias("head")
+        ).where(f"lo < hi and (n > 2 or {i} = 1)").select("band", "head.a", "head.ra")
         split = work.table(split, f"split{i}")
         if i <= ROUNDS:
             pairs = placed.join(small(split), "band").where("root <> ra").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b"))
