@@ -1,7 +1,404 @@
-"""Registry of the engine's queries and of their DuckDB counterparts."""
+"""Registry of the engine's queries and of their DuckDB counterparts, over documents and conversations."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import evaluate, ngrams, spell
+from .plans import decoders as D
+from .streaming import editor
+
 FLAGSHIP = "trigram_document_perplexity"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: Local lookup tables of the decoders: rows at most, checked before they are collected; larger models are pruned by count first.
+LOCAL_ROWS = 3_000_000
+
+
+TOKEN_SQL = T.TOKEN[1:-1].replace("'", "''")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def sents(spark: SparkSession, d: str, lang: str | None = "en", least: int = 1) -> DataFrame:
+    return ngrams.sentences(docs(spark, d), lang, least)
+
+
+def tokens(s: DataFrame) -> DataFrame:
+    return s.select("doc_id", "sent_no", F.posexplode("words").alias("pos", "word"))
+
+
+WORDS_SQL = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_matches(w, '\p{{L}}'))"
+S = rf"""s0 as (select doc_id, unnest(p) as sentence, generate_subscripts(p, 1) - 1 as sent_no from (select doc_id, regexp_split_to_array(text, '[.!?]+\s+|\n') as p from documents where lang = 'en' and text is not null)),
+s as (select doc_id, sent_no, {WORDS_SQL.format("sentence")} as words from s0), se as (select * from s where len(words) > 0),
+tok as (select doc_id, sent_no, unnest(words) as word, generate_subscripts(words, 1) - 1 as pos from se)"""
+UNI = "uni as (select word, count(*) as n from tok group by word), st as (select count(*) + 1 as v, sum(n) as total from uni)"
+
+
+def gram_sql(n: int, pad: int | None = None, source: str = "se", keys: str = "doc_id, sent_no") -> str:
+    pad = n - 1 if pad is None else pad
+    head = "[" + ", ".join(["'<s>'"] * pad) + "] || " if pad else ""
+    cols = ", ".join(f"p[i + {j}] as w{j + 1}" for j in range(n))
+    return f"select {keys}, {cols} from (select {keys}, p, unnest(range(1, len(p) - {n} + 2)) as i from (select {keys}, {head}words || ['</s>'] as p from {source}))"
+
+
+@query(rf"with t as (select doc_id, regexp_extract_all(text, '{TOKEN_SQL}') as t from documents) select doc_id, cast(coalesce(len(t), 0) as bigint) as n_tokens, md5(array_to_string(coalesce(t, []), ' ')) as digest from t")
+def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
+    t = docs(spark, d).select("doc_id", F.coalesce(T.tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(r"""with t as (select unnest(string_split(text, ' ')) as w from documents)
+select cast(count(*) as bigint) as n, cast(sum(case when regexp_full_match(w, '[\p{L}\p{N}_]+') and regexp_matches(w, '\p{L}') then 1 else 0 end) as bigint) as n_word,
+cast(sum(case when regexp_full_match(lower(trim(w)), '[a-z]+(?:''[a-z]+)?') then 1 else 0 end) as bigint) as n_ascii,
+cast(sum(case when len(w) >= 2 or w in ('a', 'i') then 1 else 0 end) as bigint) as n_usable from t""")
+def word_predicates(spark: SparkSession, d: str) -> DataFrame:
+    w = docs(spark, d).select(F.explode(F.split("text", " ")).alias("w"))
+    n = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return w.agg(F.count("*").alias("n"), n(T.is_word(F.col("w")), "n_word"), n(T.is_ascii_word(F.col("w")), "n_ascii"), n(T.usable_word(F.col("w")), "n_usable"))
+
+
+@query(rf"""with t as (select doc_id, regexp_extract_all(text, '{TOKEN_SQL}') as t from documents), e as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
+g as (select doc_id, i, case when i = 1 or x in ('.', ',', '!', '?', ';', ':', ')', ']', '}}', '''', '"') or right(lag(x) over (partition by doc_id order by i), 1) in ('(', '[', '{{', '"') then x else ' ' || x end as x from e)
+select doc_id, md5(coalesce(string_agg(x, '' order by i), '')) as digest from t left join g using (doc_id) group by doc_id""")
+def detokenize_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The window form of detokenize: a separator from each token and the one before, then one join of the strings."""
+    t = docs(spark, d).select("doc_id", F.posexplode_outer(T.tokenize(F.col("text"))).alias("i", "x"))
+    prev = F.lag("x").over(Window.partitionBy("doc_id").orderBy("i"))
+    glued = prev.isNull() | F.col("x").isin(*".,!?;:)]}'\"") | F.right(prev, F.lit(1)).isin(*"([{\"")
+    t = t.withColumn("s", F.when(glued, F.col("x")).otherwise(F.concat(F.lit(" "), F.col("x"))))
+    return t.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda z: z["s"]), "")).alias("digest"))
+
+
+@query(f"with {S} select word, cast(count(*) as bigint) as n from tok group by word")
+def unigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(sents(spark, d)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+for _n in (2, 3):
+    _cols = [f"w{i + 1}" for i in range(_n)]
+
+    def _grams(spark: SparkSession, d: str, n: int = _n) -> DataFrame:
+        return ngrams.fit(sents(spark, d), n).table
+
+    QUERIES[f"{'bi' if _n == 2 else 'tri'}gram_counts"] = _grams
+    ORACLE_SQL[f"{'bi' if _n == 2 else 'tri'}gram_counts"] = (
+        f"with {S}, g as ({gram_sql(_n)}), c as (select {', '.join(_cols)}, count(*) as n from g group by all) "
+        f"select {', '.join(_cols)}, cast(n as bigint) as n, cast(sum(n) over (partition by {', '.join(_cols[:-1])}) as bigint) as c from c"
+    )
+
+
+@query(f"with {S}, {UNI} select cast(v as bigint) as v, cast(total as bigint) as total from st")
+def vocab_stats(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.fit(sents(spark, d), 2).stats
+
+
+PPL = r"""g as ({grams}), c3 as (select {cols}, count(*) as n from g group by all), c2 as (select {ctx}, sum(n) as c from c3 group by all),
+lp as (select {keys}, count(*) - 1 as n_words, sum(ln((coalesce(c3.n, 0) + {k}::double) / (coalesce(c2.c, 0) + {k}::double * v))) as logprob from g left join c3 using ({cols}) left join c2 using ({ctx}), st group by all)"""
+
+
+@query(rf"""with sd as (select doc_id, {WORDS_SQL.format("text")} as words from documents where lang = 'en' and text is not null), se as (select * from sd where len(words) > 0),
+tok as (select unnest(words) as word from se), {UNI}, {PPL.format(grams=gram_sql(3, keys="doc_id"), cols="w1, w2, w3", ctx="w1, w2", keys="doc_id", k=0.1)}
+select doc_id, cast(n_words as bigint) as n_words, round(logprob / (n_words + 1), 6) as logprob_per_token from lp""")
+def trigram_document_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    p = ngrams.document_perplexity(docs(spark, d))
+    return p.select("doc_id", "n_words", F.round(F.col("logprob") / (F.col("n_words") + 1), 6).alias("logprob_per_token"))
+
+
+@query(rf"""with {S}, {UNI}, {PPL.format(grams=gram_sql(2), cols="w1, w2", ctx="w1", keys="doc_id, sent_no", k=0.1)}
+select doc_id, sent_no, cast(n_words as bigint) as n_words, round(logprob, 4) as logprob, round(exp(-logprob / (n_words + 1)), 2) as perplexity from lp""")
+def sentence_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    s = sents(spark, d)
+    p = ngrams.perplexity(ngrams.fit(s, 2), s)
+    return p.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "n_words", F.round("logprob", 4).alias("logprob"), F.round("perplexity", 2).alias("perplexity"))
+
+
+SPLIT = "('0x' || substr(md5('7:' || {0}), 1, 8))::bigint % 10"
+
+
+@query(rf"""with {S}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tr as (select * from b where b < 8), tt as (select unnest(words) as word from tr),
+u as (select word, count(*) as n from tt group by word), st as (select count(*) + 1 as v from u), g as ({gram_sql(3, source="tr")}), c3 as (select w1, w2, w3, count(*) as n from g group by all), c2 as (select w1, w2, sum(n) as c from c3 group by all),
+dv as (select * from b where b >= 8), q as ({gram_sql(3, source="dv")}), ks as (select unnest([0.001, 0.01, 0.05, 0.1, 0.5, 1.0])::double as k)
+select k, round(exp(-sum(ln((coalesce(c3.n, 0) + k) / (coalesce(c2.c, 0) + k * v))) / count(*)), 2) as perplexity from q left join c3 using (w1, w2, w3) left join c2 using (w1, w2), st, ks group by k""")
+def k_sweep_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    s = sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10))
+    train, dev = s.where("b < 8").drop("b"), s.where("b >= 8").drop("b")
+    return ngrams.tune(train, dev, 3).select("k", F.round("perplexity", 2).alias("perplexity"))
+
+
+@query(rf"""with {S}, u0 as (select word, count(*) as n from tok group by word), u as (select * from u0 union all select '</s>', count(*) from se), st as (select count(*) as v, sum(n) as total from u),
+g3 as ({gram_sql(3, 2)}), g2 as ({gram_sql(2, 2)}), c3 as (select w1, w2, w3, count(*) as n3 from g3 group by all), x3 as (select w1, w2, sum(n3) as x3 from c3 group by all),
+c2 as (select w1 as w2, w2 as w3, count(*) as n2 from g2 group by all), x2 as (select w2, sum(n2) as x2 from c2 group by all), u3 as (select word as w3, n as n1 from u),
+p as (select doc_id, sent_no, ln(0.6::double * ((coalesce(n3, 0) + 0.1::double) / (coalesce(x3, 0) + 0.1::double * v)) + 0.3::double * ((coalesce(n2, 0) + 0.1::double) / (coalesce(x2, 0) + 0.1::double * v)) + 0.1::double * ((coalesce(n1, 0) + 0.1::double) / (total + 0.1::double * v))) as x
+  from g3 left join c3 using (w1, w2, w3) left join x3 using (w1, w2) left join c2 using (w2, w3) left join x2 using (w2) left join u3 using (w3), st)
+select doc_id, sent_no, round(sum(x), 4) as logprob from p group by all""")
+def interpolated_score(spark: SparkSession, d: str) -> DataFrame:
+    s = sents(spark, d)
+    return ngrams.interpolated(s, s).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), F.round("logprob", 4).alias("logprob"))
+
+
+DELS = "list_distinct([substr({0}, 1, i - 1) || substr({0}, i + 1) for i in range(1, len({0}) + 1)])"
+VOCAB = f"with {S}, {UNI}, v as (select word, n from uni where n >= 2 and regexp_full_match(word, '[a-z]+')), x as (select word as q from uni where n = 1 and regexp_full_match(word, '[a-z]+') and len(word) between 4 and 12)"
+CAND = f"""pk as (select q, unnest(list_distinct([q] || {DELS.format("q")})) as key from x), vk as (select word, unnest(list_distinct([word] || {DELS.format("word")})) as key from v),
+cand as (select distinct q as word, word as candidate from pk join vk using (key) where q <> word and damerau_levenshtein(q, word) <= 1)"""
+
+
+def _vocab(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    uni = tokens(sents(spark, d)).groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n")).where("w rlike '^[a-z]+$'")
+    return uni.where("n >= 2"), uni.where("n = 1 and length(w) between 4 and 12").select(F.col("w").alias("word"))
+
+
+@query(VOCAB + f", k as (select word, unnest(list_distinct([word] || {DELS.format('word')})) as key from v) select key, word from k")
+def deletion_index(spark: SparkSession, d: str) -> DataFrame:
+    return spell.delete_index(_vocab(spark, d)[0].select(F.col("w").alias("word")))
+
+
+@query(VOCAB + ", " + CAND + " select word, candidate from cand")
+def symdelete_candidates(spark: SparkSession, d: str) -> DataFrame:
+    known, odd = _vocab(spark, d)
+    return spell.candidates(odd, known.select(F.col("w").alias("word")), "symdelete")
+
+
+@query(VOCAB + ", " + CAND + " select word, candidate from cand")
+def edits1_candidates(spark: SparkSession, d: str) -> DataFrame:
+    known, odd = _vocab(spark, d)
+    return spell.candidates(odd, known.select(F.col("w").alias("word")), "edit")
+
+
+@query(VOCAB + ", " + CAND + " select q as word, coalesce(arg_max(candidate, (n, candidate)), q) as corrected from x left join cand on x.q = cand.word left join v on v.word = cand.candidate group by q")
+def correct_nonword(spark: SparkSession, d: str) -> DataFrame:
+    known, odd = _vocab(spark, d)
+    return spell.correct_nonwords(odd, known)
+
+
+@query(rf"""with {S}, {UNI}, q as (select doc_id, sent_no, pos, word, coalesce(lag(word) over w, '<s>') as prev, coalesce(lead(word) over w, '</s>') as next from tok where true window w as (partition by doc_id, sent_no order by pos)),
+t as (select * from q where len(word) > 2 and regexp_full_match(word, '[a-z]+')), x as (select distinct word as q from t), v as (select * from uni where regexp_full_match(word, '[a-z]+')), {CAND},
+op as (select * from cand union select q, q from x), g as ({gram_sql(2)}), b as (select w1, w2, count(*) as n from g group by all), c as (select w1, sum(n) as c from b group by w1),
+sc as (select t.doc_id, t.sent_no, t.pos, t.word, o.candidate, u.n as n1, round(0.1::double * ln((u.n + 0.1::double) / (total + 0.1::double * v)) + ln((coalesce(b1.n, 0) + 0.1::double) / (coalesce(c1.c, 0) + 0.1::double * v)) + ln((coalesce(b2.n, 0) + 0.1::double) / (coalesce(c2.c, 0) + 0.1::double * v)), 9) as score
+  from t join op o using (word) join uni u on u.word = o.candidate left join b b1 on b1.w1 = t.prev and b1.w2 = o.candidate left join b b2 on b2.w1 = o.candidate and b2.w2 = t.next left join c c1 on c1.w1 = t.prev left join c c2 on c2.w1 = o.candidate, st),
+bst as (select doc_id, sent_no, pos, word, arg_max(candidate, (score, n1, candidate)) as best, max(score) as top, max(case when candidate = word then score end) as own from sc group by all)
+select best as corrected, word, cast(count(*) as bigint) as n from bst where best <> word and top - own >= 0.75 group by all""")
+def correct_realword(spark: SparkSession, d: str) -> DataFrame:
+    s = sents(spark, d)
+    w = Window.partitionBy("doc_id", "sent_no").orderBy("pos")
+    t = tokens(s).select(F.struct("doc_id", "sent_no", "pos").alias("tok"), "word", F.coalesce(F.lag("word").over(w), F.lit(T.START)).alias("prev"), F.coalesce(F.lead("word").over(w), F.lit(T.END)).alias("next"))
+    found = spell.correct_realwords(t, ngrams.fit(s, 2)).where("corrected <> word")
+    return found.groupBy("word", "corrected").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with {S}, {UNI}, e as (select distinct word, {SPLIT.format("word")} as bucket from uni) select bucket, cast(count(*) as bigint) as n from e group by bucket""")
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(sents(spark, d)).select("word").distinct().groupBy(T.bucket(F.col("word"), 7, 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+FW = ", ".join(f"'{w}'" for w in T.FUNCTION_WORDS)
+
+
+@query(rf"""with t as (select doc_id, regexp_split_to_array(text, '\s+') as t from documents), e as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
+l as (select *, lead(x) over w as y, lead(x, 2) over w as z from e window w as (partition by doc_id order by i)),
+m as (select doc_id, 1 as k, i, 'repeated function word ''' || x || ' ' || y || '''' as s from l where lower(x) = lower(y) and lower(x) in ({FW}) union all select doc_id, 2, i, 'token ''' || x || ''' repeated three times' from l where lower(x) = lower(y) and lower(x) = lower(z))
+select doc_id, md5(string_agg(s, '; ' order by k, i)) as issues from m group by doc_id""")
+def surface_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    t = docs(spark, d).select("doc_id", T.surface_issues(F.split("text", r"\s+")).alias("issues"))
+    return t.where("issues is not null").select("doc_id", F.md5("issues").alias("issues"))
+
+
+@query(r"""with t as (select doc_id, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[.!?]') as t from documents), e as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
+f as (select *, coalesce(sum(case when x in ('.', '!', '?') then 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from e)
+select doc_id, cast(s as bigint) as sentence, cast(count(*) as bigint) as n_tokens from f group by all""")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    t = docs(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+|[.!?]"), F.lit(0))).alias("i", "x"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("sentence", F.coalesce(F.sum(F.col("x").isin(".", "!", "?").cast("long")).over(before), F.lit(0)))
+    return t.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_tokens"))
+
+
+TAGGED = rf"{S}, tg as (select doc_id * 100000 + sent_no as sent, pos, word, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || right(word, 2) end as tag from tok)"
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in tags from the word's ending, as no tagged text is at hand."""
+    tag = F.when(F.length("word") <= 3, F.concat(F.lit("F"), F.right("word", F.lit(1)))).otherwise(F.concat(F.lit("C"), F.right("word", F.lit(2))))
+    return tokens(sents(spark, d)).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("sent"), "pos", "word", tag.alias("tag"))
+
+
+@query(f"with {TAGGED} select word, tag, cast(count(*) as bigint) as n from tg group by all")
+def pos_emissions(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.tag_counts(tagged(spark, d))["emissions"]
+
+
+@query(f"with {TAGGED}, q as (select sent as doc_id, list(tag order by pos) as words from tg group by sent), g as ({gram_sql(3, 2, 'q', 'doc_id')}) select w1 as t1, w2 as t2, w3 as t3, cast(count(*) as bigint) as n from g group by all")
+def pos_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.tag_counts(tagged(spark, d))["transitions"]
+
+
+@query(f"with {TAGGED}, e as (select word, tag, count(*) as n, min((sent, pos)) as f from tg group by all) select word, arg_min(tag, (-n, f)) as tag from e group by word")
+def most_frequent_tag(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.tag_counts(tagged(spark, d))["most_frequent"]
+
+
+@query(f"with {TAGGED} select tag as gold, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || left(right(word, 2), 1) || 'n' end as pred, cast(count(*) as bigint) as n from tg group by all")
+def tag_confusion(spark: SparkSession, d: str) -> DataFrame:
+    t = tagged(spark, d)
+    guess = F.when(F.length("word") <= 3, F.concat(F.lit("F"), F.right("word", F.lit(1)))).otherwise(F.concat(F.lit("C"), F.substring(F.right("word", F.lit(2)), 1, 1), F.lit("n")))
+    return evaluate.confusion(t.select(F.col("tag").alias("gold"), guess.alias("pred")))
+
+
+@query(f"with {TAGGED} select tag, cast(count(*) as bigint) as n from tg group by tag order by n desc, tag limit 30")
+def top_tags(spark: SparkSession, d: str) -> DataFrame:
+    return tagged(spark, d).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(30)
+
+
+@query(rf"""with {S}, l as (select doc_id, sent_no, len(words)::double as x from se), r as (select doc_id % 4 as g, x, row_number() over (partition by doc_id % 4 order by x) - 1 as r, count(*) over (partition by doc_id % 4) as n from l)
+select g, cast(max(n) as bigint) as n, min(x) as lo, max(case when r = least(n - 1, floor(0.05::double * n)) then x end) as p05, max(case when r = least(n - 1, floor(0.1::double * n)) then x end) as p10, max(case when r = least(n - 1, floor(0.25::double * n)) then x end) as p25,
+max(case when r = least(n - 1, floor(0.75::double * n)) then x end) as p75, max(case when r = least(n - 1, floor(0.9::double * n)) then x end) as p90, max(case when r = least(n - 1, floor(0.95::double * n)) then x end) as p95,
+avg(case when r = floor((n - 1) / 2) or r = floor(n / 2) then x end) as median, max(x) as hi from r group by g""")
+def quantile_summary(spark: SparkSession, d: str) -> DataFrame:
+    v = sents(spark, d).select((F.col("doc_id") % 4).alias("g"), F.size("words").cast("double").alias("x"))
+    return evaluate.quantiles(v, ["g"], "x")
+
+
+def _local(df: DataFrame) -> list:
+    rows = df.limit(LOCAL_ROWS + 1).collect()
+    if len(rows) > LOCAL_ROWS:
+        raise ValueError(f"a decoder's lookup table has over {LOCAL_ROWS} rows: prune it by count")
+    return rows
+
+
+def local_lm(s: DataFrame, k: float = 0.1, least: int = 1) -> D.LM:
+    """The counts of a corpus as a decoder's tables; their size is checked."""
+    tables = [ngrams.fit(s, n, k, 2, True) for n in (2, 3)]
+    uni = {r.w: r.n for r in _local(tables[0].unigrams.where(F.col("n") >= least))}
+    bi, tri = ({tuple(r)[:n]: r.n for r in _local(t.table.where(F.col("n") >= least))} for n, t in zip((2, 3), tables, strict=True))
+    return D.LM(uni, bi, tri, k)
+
+
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent-word sentences of a hash split: four fifths of texts, by their content."""
+    return sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10)).where("b < 8").drop("b")
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    s = sents(spark, d, least=3).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10)).where("b >= 8 and size(words) <= 12")
+    return s.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "words")
+
+
+@query()
+def beam_segment(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out sentences without spaces, split by the beam and by the greedy rule: exact matches."""
+    lm = spark.sparkContext.broadcast(local_lm(_train(spark, d)))
+
+    def run(batches):
+        for pdf in batches:
+            joined = pdf["words"].map("".join)
+            pdf["segmented"] = [" ".join(D.segment(t, lm.value)) for t in joined]
+            pdf["greedy"] = [" ".join(D.greedy_segment(t, lm.value.vocabulary)) for t in joined]
+            pdf["exact"] = pdf["segmented"] == pdf["words"].map(" ".join)
+            yield pdf[["doc_id", "sent_no", "segmented", "greedy", "exact"]]
+
+    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, segmented string, greedy string, exact boolean")
+
+
+def local_tagger(t: DataFrame) -> D.Tagger:
+    c = evaluate.tag_counts(t)
+    common = [r.tag for r in t.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(30).collect()]
+    emit = {(r.word, r.tag): r.n for r in _local(c["emissions"])}
+    return D.Tagger(emit, {(r.t1, r.t2, r.t3): r.n for r in _local(c["transitions"])}, {r.word: list(r.tags) for r in _local(c["candidates"])}, common)
+
+
+@query()
+def viterbi_tags(spark: SparkSession, d: str) -> DataFrame:
+    tagger = spark.sparkContext.broadcast(local_tagger(tagged(spark, d)))
+
+    def run(batches):
+        for pdf in batches:
+            pdf["tags"] = [" ".join(tagger.value.tag(list(w))) for w in pdf["words"]]
+            yield pdf[["doc_id", "sent_no", "tags"]]
+
+    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, tags string")
+
+
+def editor_models(spark: SparkSession, d: str):
+    lm = local_lm(_train(spark, d))
+    return spark.sparkContext.broadcast(editor.Models(lm, local_tagger(tagged(spark, d)), lm, lm))
+
+
+@query()
+def editor_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations typed into the editor: a session a conversation, turns in order."""
+    t = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").groupBy(F.col("conv_id").alias("session")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    t = t.select("session", F.split(F.trim(F.array_join(F.col("s.text"), " ")), r"\s+").alias("tokens"))
+    return editor.run_batch(t.repartition("session"), editor_models(spark, d))
+
+
+@query()
+def correct_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out sentences corrected from left to right, each word with the corrected one before it."""
+    models = editor_models(spark, d)
+
+    def run(batches):
+        for pdf in batches:
+            pdf["corrected"] = [" ".join(models.value.correct(list(w))) for w in pdf["words"]]
+            yield pdf[["doc_id", "sent_no", "corrected"]]
+
+    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, corrected string")
+
+
+@query()
+def merge_injection(spark: SparkSession, d: str) -> DataFrame:
+    s = _held_out(spark, d).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("session"), F.col("words").alias("tokens"))
+    return editor.inject_merges(s, 30).select("session", F.array_join("tokens", " ").alias("text"))
+
+
+@query()
+def corruption_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Share of corrupted sentences that the perplexity rule flags, by kind; thresholds are quantiles of the clean sentences."""
+    train, dev = _train(spark, d), sents(spark, d, least=8).where("size(words) <= 20")
+    dev = dev.select(F.concat_ws("-", "doc_id", "sent_no").alias("id"), "words")
+    rows = evaluate.corruptions(dev).unionByName(dev.select("id", F.lit("clean").alias("kind"), "words"))
+    p = ngrams.perplexity(ngrams.fit(train, 3), rows).select("id", "kind", F.col("perplexity").alias("tri"))
+    p = p.join(ngrams.perplexity(ngrams.fit(train, 2), rows).select("id", "kind", F.col("perplexity").alias("bi")), ["id", "kind"])
+    cut = p.where("kind = 'clean'").agg(F.percentile("tri", 0.5).alias("low"), F.percentile("tri", 0.8).alias("high"), F.percentile("bi", 0.8).alias("big"))
+    flag = ~((F.col("tri") < F.col("low")) | ((F.col("tri") >= F.col("high")) & (F.col("bi") < F.col("big"))))
+    return p.join(F.broadcast(cut)).groupBy("kind").agg(F.count("*").alias("total"), F.sum(flag.cast("long")).alias("flagged"))
+
+
+@query()
+def passage_report(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of documents with both perplexities, the decision rule and the surface check."""
+    t = docs(spark, d).where("lang = 'en' and text is not null").select("doc_id", F.posexplode(F.split("text", ngrams.SENTENCE)).alias("sent_no", "s"))
+    t = t.select("doc_id", "sent_no", T.tokenize(F.col("s")).alias("tokens")).where("size(tokens) > 0")
+    words = F.filter(F.transform("tokens", lambda w: F.lower(w)), lambda w: T.is_word(w))
+    s = t.select("doc_id", "sent_no", words.alias("words"))
+    train = _train(spark, d)
+    tri = ngrams.perplexity(ngrams.fit(train, 3, 0.001), s).select("doc_id", "sent_no", F.col("perplexity").alias("tri"))
+    bi = ngrams.perplexity(ngrams.fit(train, 2, 0.01), s).select("doc_id", "sent_no", F.col("perplexity").alias("bi"))
+    r = t.join(tri, ["doc_id", "sent_no"]).join(bi, ["doc_id", "sent_no"]).withColumn("issues", T.surface_issues(F.col("tokens")))
+    r = r.withColumn("rule", T.decision_rule(F.size("tokens") <= 25, F.col("tri"), F.col("bi")))
+    bad = F.col("issues").isNotNull() & (F.col("rule.verdict") == "Grammatical")
+    return r.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), T.detokenize(F.col("tokens")).alias("text"), F.round("tri", 2).alias("trigram_perplexity"), F.round("bi", 2).alias("bigram_perplexity"),
+        F.when(bad, "Ungrammatical").otherwise(F.col("rule.verdict")).alias("verdict"), F.when(bad, "Surface Check").otherwise(F.col("rule.method")).alias("method"), F.coalesce("issues", F.lit("-")).alias("issues"))
+
+
+@query()
+def sliding_window_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity of the last ten tokens of a conversation, after every fifth."""
+    t = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("p", "w"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "p")
+    t = t.withColumn("at", F.row_number().over(w)).withColumn("words", F.collect_list("w").over(w.rowsBetween(-9, 0))).where("at % 5 = 0")
+    s = t.select("conv_id", "at", "words")
+    return ngrams.perplexity(ngrams.fit(_train(spark, d), 3), s).select("conv_id", "at", F.round("perplexity", 2).alias("perplexity"))
