@@ -33,6 +33,13 @@ def segments(n: int) -> int:
     return 8 if n < 1 << 9 else 4 if n < 1 << 24 else 2
 
 
+def masks(spark: SparkSession, width: int, r: int) -> DataFrame:
+    """(r, flip): the values of ``width`` bits with r bits set."""
+    if width <= 16:
+        return spark.range(1 << width).where(F.expr(f"bit_count(id) = {r}")).select(F.lit(r).alias("r"), F.col("id").alias("flip"))
+    return spark.createDataFrame([(r, sum(1 << b for b in c)) for c in combinations(range(width), r)], "r int, flip long")
+
+
 def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = None) -> DataFrame:
     """The k nearest of ``codes`` (id, code) to each of ``queries`` (id, code): query_id, rank, neighbor_id, distance.
 
@@ -51,28 +58,33 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = Non
     value = lambda s: f"(shiftrightunsigned(code, {s * width}) & {mask}L)"
     asked = work.table(queries.distinct().where("code is not null"), "asked")
     index = work.table(listed.select("code", "ids", F.posexplode(F.array(*[F.expr(value(s)) for s in range(m)])).alias("seg", "val")), "index")
-    open_q = work.table(asked.select("code").distinct(), "open0")
+    open_q = work.table(asked.select("code", F.lit(None).cast("int").alias("far")).distinct(), "open0")
     best = work.table(open_q.select(F.col("code").alias("q"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("d")).where("false"), "best0")
     done = []
     # (radius, segments): small radii at once, larger ones a segment at a time, as each is dearer than all before
     steps = [(r, segs) for r in range(width + 1) for segs in ([range(m)] if r < 2 else [[s] for s in range(m)])]
+    apart = lambda s: f"bit_count(shiftrightunsigned(q ^ code, {s * width}) & {mask}L)"
     for i, (r, segs) in enumerate(steps):
         covered = m * r + segs[-1] + 1  # codes nearer than this have been met
-        flips = [sum(1 << b for b in c) for c in combinations(range(width), r)]
-        flipped = F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip")
+        flips = masks(codes.sparkSession, width, r)
         own = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.expr(value(s)).alias("val")) for s in segs])).alias("own")
-        probes = open_q.select(F.col("code").alias("q"), own).select("q", "own", flipped).select("q", F.col("own.seg").alias("seg"), F.expr("own.val ^ flip").alias("val"))
-        met = index.hint("merge").join(probes, ["seg", "val"]).select("q", "code", "ids", F.expr("cast(bit_count(q ^ code) as int)").alias("d"))
+        probes = open_q.select(F.col("code").alias("q"), "far", own).select("q", "far", "own.seg", "own.val", F.lit(r).alias("r"))
+        probes = probes.join(F.broadcast(flips), "r").select("q", "far", "seg", F.expr("val ^ flip").alias("val"))
+        # verified in the join: met by no step before (a nearer segment, or one as near and earlier), and no farther than the k-th yet
+        new = " and ".join(f"({apart(s)} > {r} or {apart(s)} = {r} and {s} >= seg)" for s in range(m))
+        probes = probes.withColumnRenamed("seg", "at").withColumnRenamed("val", "probe")
+        rows = index.hint("merge").join(probes, F.expr(f"seg = at and val = probe and {new} and (far is null or bit_count(q ^ code) <= far)"))
+        met = rows.select("q", "code", "ids", F.expr("cast(bit_count(q ^ code) as int)").alias("d"))
         # of the codes, the k first by distance and smallest id hold the k first rows
-        met = met.groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("d").alias("d"))
         met = met.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", F.col("ids")[0]))).where(F.col("_r") <= k)
-        both = best.unionByName(met.select("q", F.explode("ids").alias("id"), "d")).distinct()
+        both = best.unionByName(met.select("q", F.explode("ids").alias("id"), "d"))
         best = work.table(both.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("_r") <= k).drop("_r"), f"best{i + 1}")
-        have = best.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
-        sure = have.where((F.col("n") >= k) & (F.col("far") < covered) | F.lit(i == len(steps) - 1))
-        sure = work.table(sure.select("q"), f"sure{i}")
+        have = best.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("kth"))
+        have = work.table(have.select("q", F.expr(f"if(n >= {k}, kth, null)").alias("kth")), f"have{i}")
+        sure = have.where(F.expr(f"kth < {covered}") | F.lit(i == len(steps) - 1)).select("q")
         done.append(best.join(small(sure), "q", "left_semi"))
-        open_q = work.table(open_q.join(small(sure), open_q.code == sure.q, "left_anti"), f"open{i + 1}")
+        left = open_q.drop("far").join(small(have), F.col("code") == F.col("q"), "left").where(F.lit(i < len(steps) - 1) & F.expr(f"kth is null or kth >= {covered}"))
+        open_q = work.table(left.select("code", F.col("kth").alias("far")), f"open{i + 1}")
         if open_q.isEmpty():
             break
         best = best.join(small(sure), "q", "left_anti")
