@@ -20,7 +20,7 @@ WINDOW = 10
 STRETCH = 1024  # words that one cursor covers
 #: Patterns of one block of tables; more of them are searched block by block, so tables keep a bound of memory.
 BLOCK_PATTERNS = 200_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found, lo, chars = [], 0, 0
             for i, t in enumerate(texts):
