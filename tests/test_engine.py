@@ -126,3 +126,14 @@ def test_editor_batch_and_stream(spark, tmp_path):
     q.stop()
     got = spark.sql("select * from alerts order by seq").collect()
     assert [(r.alert_type, r.token_index, list(r.replacement)) for r in got] == [(a[0], a[1], a[3]) for a in alone.alerts]
+
+
+def test_transition_classifier(spark):
+    from lexweave.operators import deps
+
+    trees = [(s, i, p, h, r) for s in range(3) for i, p, h, r in ((1, "DET", 2, "det"), (2, "NOUN", 3, "nsubj"), (3, "VERB", 0, "root"))]
+    trees += [(9, 1, "X", 3, "a"), (9, 2, "X", 4, "b"), (9, 3, "X", 0, "root"), (9, 4, "X", 3, "c")]  # crossing arcs
+    rows = deps.training_rows(spark.createDataFrame(trees, "sent_id long, id int, pos string, head int, deprel string"))
+    assert rows.where("transition is null").count() == 1 and rows.count() == 19
+    arcs = D.parse({1: "DET", 2: "NOUN", 3: "VERB"}, deps.train(rows).get)
+    assert sorted(arcs) == [(0, 3, "root"), (2, 1, "det"), (3, 2, "nsubj")]
