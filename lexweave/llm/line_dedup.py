@@ -2,16 +2,15 @@
 
 Equal lines are collapsed first. A line's shingles are the runs of ``WIDTH`` characters that begin at its words (so they move
 with inserted text); its signature holds the smallest of ``ROWS`` x ``BANDS`` hashes of them. Lines that agree on all rows of a
-band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of 1000 cases, and surer ones less. In each round
-every line of a band's bucket is compared with one of them by the exact Jaccard similarity of their shingles, unless links
-join both already; after some rounds, lines of a bucket that are still apart are compared if they share one of their rarest
-shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line
+band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of 1000 cases, and surer ones less. Every line of a
+band's bucket is compared with a few of them by the exact Jaccard similarity of their shingles; then lines of a bucket that
+links have not joined are compared if they share one of their rarest shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line
 (by document, then place) stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, small
@@ -19,8 +18,9 @@ from .common import Workspace, connected_components, small
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 4, 12, 0.8
 #: Shorter lines (in characters) are never called duplicates: short phrases recur in any text.
 MIN_CHARS = 20
-#: Rounds in which each bucket's lines are compared with one of them, another in each band and round.
-ROUNDS = 3
+#: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
+#: that meet in many bands are compared with few lines.
+HEADS = 3
 
 
 def shingles(line):
@@ -30,7 +30,8 @@ def shingles(line):
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_doc, _key, _no, line, line_id) of every line that can be a duplicate; _key tells documents apart that share an id."""
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.posexplode(F.split(text_col, "\n")).alias("_no", "line"))
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    d = d.select("_doc", "_key", F.posexplode(F.split("_text", "\n")).alias("_no", "line"))  # a second step, else the key is taken for each line
     return d.where(F.length("line") >= MIN_CHARS).withColumn("line_id", F.xxhash64("line"))
 
 
@@ -60,9 +61,10 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
     Where the first shared one stands in both bounds how many can be shared, which drops most pairs before they are made."""
     each = work.table(left.join(texts, "line_id").select("line_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "rest")
     rare = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = each.join(rare, "shingle").groupBy("line_id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by"))
-    head = ranked.select("line_id", "root", "n", F.posexplode(F.expr(f"slice(by, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1)")).alias("at", "x")).where("x.df > 1")
-    head = work.table(head.select("line_id", "root", "n", "at", F.col("x.shingle").alias("key")), "heads_left")
+    by = Window.partitionBy("line_id").orderBy("df", "shingle")
+    ranked = each.join(rare, "shingle").withColumn("at", F.row_number().over(by) - 1)
+    head = ranked.where(F.expr(f"at <= n - cast(ceil({threshold}D * n - 1e-9D) as int) and df > 1"))
+    head = work.table(head.select("line_id", "root", "n", "at", F.col("shingle").alias("key")), "heads_left")
     a, b = (head.select("key", F.col("line_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "at"))) for x in "ab")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fits = most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
@@ -86,22 +88,28 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     texts = texts.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("shingles"))
     texts = work.table(texts, "texts")
 
-    root = work.table(wanted.select(F.col("line_id").alias("node"), F.col("line_id").alias("root")).where("false"), "roots0")
-    chain = lambda: root.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    for i in range(1, ROUNDS + 2):
-        placed = members.join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
-        split = placed.groupBy("band").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.expr(f"min_by(struct(line_id as a, root as ra), xxhash64(line_id, band, {i}))").alias("head")
-        ).where(f"lo < hi and (n > 2 or {i} = 1)").select("band", "head.a", "head.ra")
-        split = work.table(split, f"split{i}")
-        if i <= ROUNDS:
-            pairs = placed.join(small(split), "band").where("root <> ra").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b"))
-        else:
-            lines_left = placed.join(small(split.select("band")), "band", "left_semi").select("line_id", "root").distinct()
-            pairs = sharing(work, lines_left, texts, threshold)
-        found = work.table(similar(pairs.distinct(), texts, threshold), f"links{i}")
-        if not found.isEmpty():
-            root = work.table(connected_components(work, chain().unionByName(found), f"cc{i}"), f"roots{i}")
+    # every line of a bucket is compared with the bucket's heads: reversible orders give them in one hash aggregation
+    masks = constants()[:HEADS]
+    split = members.groupBy("band").agg(F.count("*").alias("n"), *[F.min(F.col("line_id").bitwiseXOR(F.lit(m).cast("long"))).alias(f"h{i}") for i, m in enumerate(masks)])
+    heads = F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(m).cast("long")) for i, m in enumerate(masks)]))
+    heads = F.when(F.col("n") > 2, heads).otherwise(F.slice(heads, 1, 1))
+    split = work.table(split.select("band", "n", heads.alias("heads")), "split")
+    against = split.select("band", F.explode("heads").alias("head"))
+    pairs = members.join(small(work.table(against, "against")), "band").where("line_id <> head")
+    pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b")).distinct()
+    found = work.table(similar(pairs, texts, threshold), "links")
+    root = work.table(connected_components(work, found, "cc"), "roots_first")
+
+    # buckets with two lines or more beside the heads may hold lines that are still apart
+    open_bands = work.table(split.where("n - size(heads) > 1").select("band"), "open")
+    placed = members.join(small(open_bands), "band", "left_semi").join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+    placed = work.table(placed, "placed")
+    apart = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band"), "apart")
+    left = work.table(placed.join(small(apart), "band", "left_semi").select("line_id", "root").distinct(), "left")
+    more = work.table(similar(sharing(work, left, texts, threshold).distinct(), texts, threshold), "links_left")
+    if not more.isEmpty():
+        root = connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc_left")
+    root = work.table(root, "roots")
 
     # each component's first place; lines without a component are their own
     first = at.groupBy("line_id").agg(F.min(F.struct("_doc", "_key", "_no")).alias("first"), F.count("*").alias("n"))
@@ -128,7 +136,7 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id"
     d = d.join(small(gone, 300_000), (d[id_col].eqNullSafe(gone["_doc"])) & (d["_k"] == gone["_key"]), "left")
     every = F.split(text_col, "\n")
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
 
