@@ -36,13 +36,11 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def constants() -> list[int]:
-    """One constant for each hash of a signature. The hash of a shingle, exclusive-or a constant, orders shingles as a permutation
-    would; the constants of a band are far apart in their first bits, so that its rows choose separately."""
+    """One odd factor below 2^31 for each hash of a signature: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
     out, x = [], 0x243F6A8885A308D3
-    for i in range(ROWS * BANDS):
+    for _ in range(ROWS * BANDS):
         x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        word = (i % ROWS) << 62 | (((i // ROWS) * 11 + 3) % 16) << 58 | x >> 6
-        out.append(word - (1 << 64) if word >> 63 else word)
+        out.append(x >> 33 | 1)
     return out
 
 
@@ -75,8 +73,8 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
     at = work.table(lines(docs, id_col, text_col).select("_doc", "_key", "_no", "line_id"), "at")
     distinct = lines(docs, id_col, text_col).groupBy("line_id").agg(F.first("line").alias("line"))
-    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("h"))
-    signed = cut.groupBy("line_id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c).cast("long"))).alias(f"m{i}") for i, c in enumerate(constants())])
+    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.shiftrightunsigned(F.xxhash64("shingle"), 33).alias("h"))
+    signed = cut.groupBy("line_id").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     known = work.table(signed.select("line_id", bands.alias("bands")), "lines")
 
@@ -89,7 +87,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     texts = work.table(texts, "texts")
 
     # every line of a bucket is compared with the bucket's heads: reversible orders give them in one hash aggregation
-    masks = constants()[:HEADS]
+    masks = [c << 32 for c in constants()[:HEADS]]
     split = members.groupBy("band").agg(F.count("*").alias("n"), *[F.min(F.col("line_id").bitwiseXOR(F.lit(m).cast("long"))).alias(f"h{i}") for i, m in enumerate(masks)])
     heads = F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(m).cast("long")) for i, m in enumerate(masks)]))
     heads = F.when(F.col("n") > 2, heads).otherwise(F.slice(heads, 1, 1))

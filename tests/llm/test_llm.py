@@ -183,6 +183,20 @@ def fuzzy(texts, threshold=0.8):
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
 
 
+def test_line_banding_finds_short_lines():
+    """Sets of few shingles at similarity 0.8 share a band as surely as long ones: the signature's orders are independent."""
+    rng, factors = np.random.default_rng(4), np.array(line_dedup.constants(), np.int64)
+    bands = lambda h: ((h[:, None] * factors) & 0x7FFFFFFF).min(0).reshape(line_dedup.BANDS, line_dedup.ROWS)
+    for union, apart in ((5, 1), (10, 2), (60, 12)):
+        missed = 0
+        for _ in range(1000):
+            h = rng.integers(0, 1 << 31, union)
+            k = rng.integers(0, apart + 1)
+            a, b = h[: union - k], np.concatenate([h[: union - apart], h[union - k :]])
+            missed += not (bands(a) == bands(b)).all(axis=1).any()
+        assert missed <= 10, (union, missed)
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     words = [f"{a}{b}" for a in ("al", "be", "cor", "dun", "eg", "fin") for b in ("an", "et", "is", "om", "ur", "ex")]
