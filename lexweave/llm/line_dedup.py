@@ -1,11 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
 Equal lines are collapsed first. A line's shingles are the runs of ``WIDTH`` characters that begin at its words (so they move
-with inserted text); its signature holds the smallest of ``ROWS`` x ``BANDS`` hashes of them. Lines that agree on all rows of a
-band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of 1000 cases, and surer ones less. Every line of a
-band's bucket is compared with a few of them by the exact Jaccard similarity of their shingles; then lines of a bucket that
-links have not joined are compared if they share one of their rarest shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line
-(by document, then place) stays.
+with inserted text); its signature holds, for each of ``BANDS`` bands, the smallest of ``ROWS`` hashes of the shingles of the
+band's class. Lines that agree on all rows of a band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of
+1000 cases, and surer ones less. Classes do not lower that: where one class is less similar than the whole, another is more, and
+short lines differ in one class alone. Every line of a band's bucket is compared with a few of them by the exact Jaccard
+similarity of their shingles; then lines of a bucket that links have not joined are compared if they share one of their rarest
+shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line (by
+document, then place) stays.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, connected_components, small
 
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 4, 12, 0.8
+#: Shingles fall into classes by their hash, and each band sees one class: a shingle takes part in BANDS / CLASSES bands only.
+CLASSES = 2
 #: Shorter lines (in characters) are never called duplicates: short phrases recur in any text.
 MIN_CHARS = 20
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
@@ -36,9 +40,9 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def constants() -> list[int]:
-    """One odd factor below 2^31 for each hash of a signature: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
+    """One odd factor below 2^31 for each hash of a class's signature: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
     out, x = [], 0x243F6A8885A308D3
-    for _ in range(ROWS * BANDS):
+    for _ in range(ROWS * BANDS // CLASSES):
         x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
         out.append(x >> 33 | 1)
     return out
@@ -73,9 +77,10 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
     at = work.table(lines(docs, id_col, text_col).select("_doc", "_key", "_no", "line_id"), "at")
     distinct = lines(docs, id_col, text_col).groupBy("line_id").agg(F.first("line").alias("line"))
-    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.shiftrightunsigned(F.xxhash64("shingle"), 33).alias("h"))
-    signed = cut.groupBy("line_id").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("x"))
+    cut = cut.select("line_id", F.expr(f"pmod(x, {CLASSES})").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
+    signed = cut.groupBy("line_id", "class").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
+    bands = F.array(*[F.xxhash64("class", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS // CLASSES)])
     known = work.table(signed.select("line_id", bands.alias("bands")), "lines")
 
     entry = known.select("line_id", F.explode("bands").alias("band"))

@@ -186,11 +186,20 @@ def fuzzy(texts, threshold=0.8):
 def test_line_banding_finds_short_lines():
     """Sets of few shingles at similarity 0.8 share a band as surely as long ones: the signature's orders are independent."""
     rng, factors = np.random.default_rng(4), np.array(line_dedup.constants(), np.int64)
-    bands = lambda h: ((h[:, None] * factors) & 0x7FFFFFFF).min(0).reshape(line_dedup.BANDS, line_dedup.ROWS)
+
+    def bands(h):
+        """One row a band; a class without shingles has rows that match nothing."""
+        out = []
+        for c in range(line_dedup.CLASSES):
+            own = h[h % line_dedup.CLASSES == c] // line_dedup.CLASSES
+            low = ((own[:, None] * factors) & 0x7FFFFFFF).min(0) if len(own) else np.full(len(factors), rng.integers(1 << 32, 1 << 62))
+            out.append(low.reshape(-1, line_dedup.ROWS))
+        return np.concatenate(out)
+
     for union, apart in ((5, 1), (10, 2), (60, 12)):
         missed = 0
         for _ in range(1000):
-            h = rng.integers(0, 1 << 31, union)
+            h = rng.integers(0, line_dedup.CLASSES << 31, union)
             k = rng.integers(0, apart + 1)
             a, b = h[: union - k], np.concatenate([h[: union - apart], h[union - k :]])
             missed += not (bands(a) == bands(b)).all(axis=1).any()
