@@ -227,6 +227,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_line_dedup_sees_all_characters(spark):
+    """Lines without spaces, or that differ only late in a long word, are held by all of their characters."""
+    lines = ["https://example.org/archive/one/alpha.html", "https://example.org/wiki/another-page?id=77", "今日は天気がとても良いので散歩に行きました。", "今日は天気がとても悪い、家で本を読んで過ごしたい。",
+             "identifier-0001-abcdefgh identifier-9999-stuvwxyz", "identifier-0777-qwertyui identifier-3333-zxcvbnma"]
+    one = "the same long line without any difference but for its last sign, which is new"
+    got = line_dedup.dedup(spark.createDataFrame([(1, "\n".join([*lines, one + "?"])), (2, one + "!")], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "\n".join([*lines, one + "?"]), 2: ""}
+
+
 @pytest.mark.parametrize("size", [2, 3, 5])
 def test_simhash_equals_brute_force(spark, size):
     import xxhash
