@@ -20,8 +20,8 @@ from .common import Workspace, connected_components, small
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 4, 12, 0.8
 #: Shingles fall into classes by their hash, and each band sees one class: a shingle takes part in BANDS / CLASSES bands only.
 CLASSES = 2
-#: Shorter lines (in characters) are never called duplicates: short phrases recur in any text.
-MIN_CHARS = 20
+#: Shorter lines (in characters) are not compared. By default all lines but blank ones are.
+MIN_CHARS = 1
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
 #: that meet in many bands are compared with few lines.
 HEADS = 3
@@ -38,11 +38,11 @@ def shingle_set(line):
     return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_doc, _key, _no, line, line_id) of every line that can be a duplicate; _key tells documents apart that share an id."""
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
     d = d.select("_doc", "_key", F.posexplode(F.split("_text", "\n")).alias("_no", "line"))  # a second step, else the key is taken for each line
-    return d.where(F.length("line") >= MIN_CHARS).withColumn("line_id", F.xxhash64("line"))
+    return d.where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S")).withColumn("line_id", F.xxhash64("line"))
 
 
 def constants() -> list[int]:
@@ -82,10 +82,10 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
     return a.join(b, (a["key"] == b["key"]) & (F.col("root_a") < F.col("root_b")) & fits).select("a", "b")
 
 
-def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
-    at = work.table(lines(docs, id_col, text_col).select("_doc", "_key", "_no", "line_id"), "at")
-    distinct = lines(docs, id_col, text_col).groupBy("line_id").agg(F.first("line").alias("line"))
+    at = work.table(lines(docs, id_col, text_col, min_chars).select("_doc", "_key", "_no", "line_id"), "at")
+    distinct = lines(docs, id_col, text_col, min_chars).groupBy("line_id").agg(F.first("line").alias("line"))
     cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("x"))
     cut = cut.select("line_id", F.expr(f"pmod(x, {CLASSES})").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
     signed = cut.groupBy("line_id", "class").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
@@ -96,7 +96,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
-    texts = lines(docs, id_col, text_col).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
+    texts = lines(docs, id_col, text_col, min_chars).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
     texts = work.table(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts")
 
     # every line of a bucket is compared with the bucket's heads: reversible orders give them in one hash aggregation
@@ -132,16 +132,16 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     return work.table(gone.groupBy("_doc", "_key").agg(F.sort_array(F.collect_set("_no")).alias("gone")), "gone")
 
 
-def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and n_lines, n_dropped beside its columns (one row for each).
 
-    Lines are what line feeds part; a line stays if it is shorter than MIN_CHARS, or is its component's first (by id,
+    Lines are what line feeds part; a line stays if it is blank or shorter than ``min_chars``, or is its component's first (by id,
     a hash of the text, number; null ids first). Rows that repeat both id and text are one document: they lose the same lines. A
     null text has no lines and stays null; a text whose lines all go becomes empty. Other columns stay as they are, but for ones
     named n_lines or n_dropped, which are replaced. Empty in, empty out. No row is dropped.
     """
     work = Workspace(docs.sparkSession, "lines")
-    gone = duplicate_lines(work, docs, threshold, id_col, text_col)
+    gone = duplicate_lines(work, docs, threshold, id_col, text_col, min_chars)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*[F.col(c) for c in own], F.xxhash64(text_col).alias("_k"))
     d = d.join(small(gone, 300_000), (d[id_col].eqNullSafe(gone["_doc"])) & (d["_k"] == gone["_key"]), "left")

@@ -236,6 +236,13 @@ def test_line_dedup_sees_all_characters(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "\n".join([*lines, one + "?"]), 2: ""}
 
 
+def test_line_dedup_drops_short_lines(spark):
+    texts = [(1, "Menu\nRead more\n\n  \nA\n一"), (2, "menu\nRead more\n\n  \nB\n一\nRead me"), (3, "Read more")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup(d).collect()} == {1: texts[0][1], 2: "\n  \nB\nRead me", 3: ""}
+    assert [r.n_dropped for r in line_dedup.dedup(d, min_chars=20).collect()] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("size", [2, 3, 5])
 def test_simhash_equals_brute_force(spark, size):
     import xxhash
