@@ -1,15 +1,13 @@
 """Personal data: four fixed patterns, and spans added by a linear-chain conditional random field over word-shape features.
 
 The field is trained by gradient ascent on the small labelled table below (inline marks), and decoded by Viterbi in numpy
-batches. A text is cut where ``GAP`` words in a row hold neither a digit nor an at sign; each piece around such words is
-decoded exactly. Words without them cannot begin a span, so nothing of a text is left out.
+batches, over all words of every text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +17,6 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
-GAP = 4
 
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -29,6 +26,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TRIGGER = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
+#: Words, padding included, that are decoded together; one longer text is decoded alone.
+CELLS = 200_000
 
 #: The labelled table: [kind|span] marks a span. Invented examples, in the languages of the corpus.
 LABELLED = """
@@ -88,6 +87,25 @@ mail bob.34@mail7.example.com for that
 dial +1 (017) 555-7713 for help
 order 1234567890123456 was sent
 item 20210407123456 in the list
+write to [email|maria.keller (at) post (dot) example.net] about it
+mail [email|sam (at) host (dot) example (dot) org] for the list
+contact [email|lee.wong @ mail.example.com] today
+password = [secret|hunterSecretPass] now
+password: [secret|correct-horse-battery] kept
+token = [secret|"abQxTzLmNoPqRsTuVwKy"] is
+my password was lost and the token of the key is old
+the secret of the house and the key to the door
+the end. the end. the end. the end. the end.
+and so. it was. that is. all of it. no more.
+yes, no, and so, as it was, they said, then left.
+ar. ar. ar. ar. ar. ar. ar. ar.
+name | place | time | house | river
+word, | other | words, | here. | end.
+größe. schön, und für über. ende.
+été, élève. où, déjà. fin.
+año. niño, más. día, fin.
+end.
+(see above) and [note] or "quoted" words; then: more!
 """
 
 
@@ -128,9 +146,12 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]+", "9", out))[:24]
 
 
-@lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[str, ...]:
     """Word-shape features: the shape, its punctuation, digit and length classes, and the word itself if it is a cue."""
+    if word.isascii() and word.isalpha():  # the same, without the searches
+        n, cue = len(word), word.lower()
+        hexa = int(n >= 16 and sum(c in "abcdef" for c in cue) >= 16)
+        return (f"s={'A' if word.isupper() else 'a'}", "d=0", f"n={min(n, 40) // 5}", f"mix=0{min(n, 2)}{hexa}", "p=", f"w={cue}" if n <= 8 else "w=")
     digits = sum(c.isdigit() for c in word)
     hexa = len(re.sub(r"[^0-9a-fA-F]", "", word))
     letters = sum(c.isalpha() for c in word)
@@ -193,38 +214,80 @@ class CRF:
             w += rate * gw / np.sqrt(gw2)
             t += rate * gt / np.sqrt(gt2)
         self.w, self.t, self.first = w, np.where(self.bad, -1e4, t), first
+        self.edges = [self.w[self.index[x]] for x in ("-^", "+$")]
+        self.ids: dict[str, int] = {}
+        self.kinds: dict[tuple[str, ...], int] = {}
+        self.parts = np.zeros((0, 3, len(LABELS)))
         return self
 
+    def kind(self, word: str) -> int:
+        """Row of ``parts`` for a word: what it adds to its own emissions, to those of the word after it and of the one before it."""
+        own = features(word)
+        if not any(n + own[-1] in self.index for n in ("", "-", "+")):
+            own = own[:-1]
+        found = self.kinds.get(own)
+        if found is None:
+            found = self.kinds[own] = len(self.kinds)
+            rows = ([self.index[n + f] for f in own if n + f in self.index] for n in ("", "-", "+"))
+            if found >= len(self.parts):
+                self.parts = np.concatenate([self.parts, np.zeros((max(64, found), 3, len(LABELS)))])
+            self.parts[found] = [self.w[r].sum(0) if r else np.zeros(len(LABELS)) for r in rows]
+        return found
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        if len(self.ids) > 300_000 or len(self.kinds) > 50_000:
+            self.ids, self.kinds = {}, {}
+        at = []
+        for w in words:
+            i = self.ids.get(w)
+            if i is None:
+                i = self.ids[w] = self.kind(w)
+            at.append(i)
+        each = self.parts[at]
+        out = each[:, 0].copy()
+        out[1:] += each[:-1, 1]
+        out[:-1] += each[1:, 2]
+        out[0] += self.edges[0]
+        out[-1] += self.edges[1]
+        return out
+
     def decode(self, batch: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi over all sequences at once, padded to the longest of a group of like length."""
+        """Viterbi over many sequences at once, those of like length together; a group's padded size is bounded but for one sequence."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(batch)
-        order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-        for lo in range(0, len(order), 512):
-            group = [i for i in order[lo : lo + 512] if batch[i]]
-            if not group:
-                continue
-            n, k = max(len(batch[i]) for i in group), len(LABELS)
-            e = np.zeros((len(group), n, k))
-            for g, i in enumerate(group):
-                for j, r in enumerate(self.rows(batch[i], False)):
-                    e[g, j] = self.w[r].sum(0) if r else 0
-            back = np.zeros((len(group), n, k), np.int8)
-            score = e[:, 0] + self.first
-            keep = [score]
-            for j in range(1, n):
-                via = score[:, :, None] + self.t[None]
-                back[:, j] = via.argmax(1)
-                score = via.max(1) + e[:, j]
-                keep.append(score)
-            for g, i in enumerate(group):
-                m = len(batch[i])
-                tags = np.zeros(m, int)
-                tags[-1] = keep[m - 1][g].argmax()
-                for j in range(m - 1, 0, -1):
-                    tags[j - 1] = back[g, j, tags[j]]
-                out[i] = tags
+        group: list[int] = []
+        for i in sorted((i for i in range(len(batch)) if batch[i]), key=lambda i: len(batch[i])):
+            if group and (len(group) == 512 or (len(group) + 1) * len(batch[i]) > CELLS):
+                self._decode(batch, group, out)
+                group = []
+            group.append(i)
+        if group:
+            self._decode(batch, group, out)
         return out
 
+    def _decode(self, batch: list[list[str]], group: list[int], out: list[np.ndarray]) -> None:
+        sizes = np.array([len(batch[i]) for i in group])
+        n, k = int(sizes[-1]), len(LABELS)
+        e = np.zeros((n, k, len(group)))  # sequences innermost: each step is a few passes over long rows
+        for g, i in enumerate(group):
+            e[: sizes[g], :, g] = self.emissions(batch[i])
+        back = np.zeros((n, k, len(group)), np.int8)
+        score = e[0] + self.first[:, None]
+        tags = np.zeros((n, len(group)), np.int8)
+        tags[0] = score.argmax(0)
+        for j in range(1, n):
+            best, arg = score[0] + self.t[0][:, None], back[j]
+            for a in range(1, k):
+                via = score[a] + self.t[a][:, None]
+                arg[via > best] = a
+                np.maximum(best, via, out=best)
+            score = best + e[j]
+            tags[j] = score.argmax(0)
+        each = np.arange(len(group))
+        for j in range(n - 1, 0, -1):  # a sequence's last tag is its best end; those before follow the pointers
+            tags[j - 1] = np.where(sizes > j, back[j, tags[j], each], tags[j - 1])
+        for g, i in enumerate(group):
+            out[i] = tags[: sizes[g], g].astype(int)
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -258,32 +321,16 @@ def model() -> CRF:
     return _MODEL
 
 
-def pieces(text: str) -> list[list[tuple[int, int]]]:
-    """Word spans of the pieces: words with a digit or at sign, and up to GAP words on each side."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    for i, (a, b) in enumerate(words):
-        if not _TRIGGER.search(text, a, b):
-            continue
-        lo, hi = max(0, i - GAP), min(len(words), i + GAP + 1)
-        if out and lo <= last:
-            out[-1] += words[last:hi]
-        else:
-            out.append(words[lo:hi])
-        last = hi
-    return out
-
-
 def added_spans(texts: list[str], crf: CRF | None = None) -> list[list[tuple[int, int, int]]]:
     """Spans the field finds, trimmed of surrounding quotes and stops; a base span it meets stays and the added one goes."""
     crf = crf or model()
-    found = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
-    tags = crf.decode([[texts[i][a:b] for a, b in p] for i, p in found])
+    tags = crf.decode([_WORD.findall(t) for t in texts])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, p), y in zip(found, tags, strict=True):
+    for i, y in enumerate(tags):
+        if not y.any():
+            continue
         spans: list[list[int]] = []
-        for (a, b), tag in zip(p, y, strict=True):
+        for (a, b), tag in zip((m.span() for m in _WORD.finditer(texts[i])), y, strict=True):
             name = LABELS[tag]
             if name == "O":
                 continue
@@ -297,7 +344,7 @@ def added_spans(texts: list[str], crf: CRF | None = None) -> list[list[tuple[int
                 a += 1
             while a < b and texts[i][b - 1] in "\"'>,;:.!?#$%&*|":
                 b -= 1
-            if _TRIGGER.search(texts[i], a, b):
+            if a < b:
                 out[i].append((k, a, b))
     return out
 
@@ -326,10 +373,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 part = batch.slice(lo, 2000)
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 base = [scan(t) for t in texts]
-                hot = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
-                more: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for i, found in zip(hot, added_spans([texts[i] for i in hot], crf), strict=True):
-                    more[i] = [s for s in found if all(s[2] <= b[1] or b[2] <= s[1] for b in base[i])]
+                more = [[s for s in found if all(s[2] <= x[1] or x[2] <= s[1] for x in b)] for found, b in zip(added_spans(texts, crf), base, strict=True)]
                 cols = [part.column(0)]
                 cols += [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
                 cols.append(pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]))

@@ -107,6 +107,14 @@ def test_pii_adds_spans_and_keeps_the_base(spark):
     assert pii.find_pii(edge(spark, False)).count() == 0 and pii.find_pii(edge(spark)).count() == 10
 
 
+def test_pii_decodes_every_word():
+    """Spans without a digit or at sign are met, in texts that hold none; ordinary words are not."""
+    far = "plain words of a text without any mark. " * 40
+    texts = ["write to ana.lopez (at) mail (dot) example.org before noon", far + "password = hunterSecretPass now", "the end. the end. the end. my password was lost | and so it is."]
+    found = [[(pii.ADDED[k], t[a:b]) for k, a, b in s] for t, s in zip(texts, pii.added_spans(texts), strict=True)]
+    assert found == [[("email", "ana.lopez (at) mail (dot) example.org")], [("secret", "hunterSecretPass")], []]
+
+
 def test_language_id(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in language_id.query(spark, d).collect()}
