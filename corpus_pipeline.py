@@ -25,24 +25,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*docs.columns)
 
 
+def _digest():
+    """16 bytes that stand for the text (null for null), so that rows are told apart where ids repeat or are null."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (of repeated rows of that id any one). Shingles of five words."""
+    """One row of each group stays: the one with the smallest id, null ids last, then by a digest of the text (of rows that repeat
+    id and text any one). Rows of other groups stay, whatever their ids. Shingles of five words."""
     work = Workspace(spark, "pipeline-simhash")
-    groups = work.table(simhash.near_duplicates(docs, width=5).select(F.col("doc_id").alias("_id"), "component_id"), "groups")
-    gone = work.table(groups.where("_id <> component_id or (_id is null and component_id is not null)").select("_id").distinct(), "gone")
-    kept = docs.join(small(gone), docs.doc_id.eqNullSafe(gone["_id"]), "left_anti")
-    twice = groups.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept.dropDuplicates(["doc_id"]) if not twice.isEmpty() else kept
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), width=5, id_col="row")
+    groups = work.table(found.select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"), (~F.col("row").eqNullSafe(F.col("component_id"))).alias("copy")), "groups")
+    gone = work.table(groups.where("copy").select("_id", "_digest").distinct(), "gone")
+    keyed = docs.withColumn("_k", _digest())
+    kept = keyed.join(small(gone), keyed.doc_id.eqNullSafe(gone["_id"]) & keyed["_k"].eqNullSafe(gone["_digest"]), "left_anti")
+    twice = groups.groupBy("_id", "_digest").agg(F.count("*").alias("n")).where("n > 1")
+    return (kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "_k"])).drop("_k")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Rows whose text holds a window of a benchmark item go; other rows stay, whatever their ids."""
     work = Workspace(spark, "pipeline-benchmark")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select("doc_id", "text")
-    found = decontaminate.contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    keyed = docs.select(_digest().alias("doc_id"), "text")
+    found = decontaminate.contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
     gone = work.table(found, "gone")
-    return docs.join(small(gone), docs.doc_id.eqNullSafe(gone["_id"]), "left_anti")
+    own = docs.withColumn("_k", _digest())
+    return own.join(small(gone), own["_k"] == gone["_digest"], "left_anti").drop("_k")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,3 +316,18 @@ def test_pipeline(spark):
     for _, stage in C.STAGES:
         assert stage(spark, edge(spark).drop("digest"), D).count() >= 0
     assert C.near_duplicates(spark, edge(spark), D).where("doc_id = 6 or doc_id = 8").count() <= 1
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    """Null and repeated ids: only the copies and the contaminated rows go."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(8)
+    a, b, c, e, f = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(5))
+    rows = [(None, a), (None, b), (1, a), (1, c), (1, c), (2, e), (2, a), (3, f)]
+    left = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(None, b), (1, a), (1, c), (2, e), (3, f)], key=str)
+    item = spark.read.parquet(f"{D}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(None, a), (None, item), (1, b), (1, item), (1, None)]
+    left = C.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(None, a), (1, b), (1, None)], key=str)
