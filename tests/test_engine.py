@@ -137,3 +137,8 @@ def test_transition_classifier(spark):
     assert rows.where("transition is null").count() == 1 and rows.count() == 19
     arcs = D.parse({1: "DET", 2: "NOUN", 3: "VERB"}, deps.train(rows).get)
     assert sorted(arcs) == [(0, 3, "root"), (2, 1, "det"), (3, 2, "nsubj")]
+
+
+def test_passage_report_claims_no_parse(spark):
+    rows = catalog.passage_report(spark, DIR).select("method").distinct().collect()
+    assert rows and {r.method for r in rows} <= {"Trigram LM", "Bigram LM", "Surface Check"}
