@@ -293,10 +293,15 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _held_out(spark: SparkSession, d: str) -> DataFrame:
-    s = sents(spark, d, least=3).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10)).where("b >= 8 and size(words) <= 12")
+    """The other fifth of the texts, for the models that are evaluated on texts they have not seen."""
+    s = sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10)).where("b >= 8")
     return s.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "words")
 
 
+def _all(spark: SparkSession, d: str) -> DataFrame:
+    return sents(spark, d).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "words")
+
+
 @query()
 def beam_segment(spark: SparkSession, d: str) -> DataFrame:
     """Held-out sentences without spaces, split by the beam and by the greedy rule: exact matches."""
@@ -329,7 +334,7 @@ def viterbi_tags(spark: SparkSession, d: str) -> DataFrame:
             pdf["tags"] = [" ".join(tagger.value.tag(list(w))) for w in pdf["words"]]
             yield pdf[["doc_id", "sent_no", "tags"]]
 
-    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, tags string")
+    return _all(spark, d).mapInPandas(run, "doc_id long, sent_no long, tags string")
 
 
 def editor_models(spark: SparkSession, d: str):
@@ -347,7 +352,7 @@ def editor_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def correct_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out sentences corrected from left to right, each word with the corrected one before it."""
+    """Sentences corrected from left to right, each word with the corrected one before it."""
     models = editor_models(spark, d)
 
     def run(batches):
@@ -355,12 +360,12 @@ def correct_sentences(spark: SparkSession, d: str) -> DataFrame:
             pdf["corrected"] = [" ".join(models.value.correct(list(w))) for w in pdf["words"]]
             yield pdf[["doc_id", "sent_no", "corrected"]]
 
-    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, corrected string")
+    return _all(spark, d).mapInPandas(run, "doc_id long, sent_no long, corrected string")
 
 
 @query()
 def merge_injection(spark: SparkSession, d: str) -> DataFrame:
-    s = _held_out(spark, d).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("session"), F.col("words").alias("tokens"))
+    s = _all(spark, d).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("session"), F.col("words").alias("tokens"))
     return editor.inject_merges(s, 30).select("session", F.array_join("tokens", " ").alias("text"))
 
 

@@ -142,3 +142,9 @@ def test_transition_classifier(spark):
 def test_passage_report_claims_no_parse(spark):
     rows = catalog.passage_report(spark, DIR).select("method").distinct().collect()
     assert rows and {r.method for r in rows} <= {"Trigram LM", "Bigram LM", "Surface Check"}
+
+
+def test_sentence_queries_cover_all_sentences(spark):
+    n = catalog.sents(spark, DIR).count()
+    assert catalog._all(spark, DIR).count() == catalog.merge_injection(spark, DIR).count() == n
+    assert catalog._held_out(spark, DIR).where("size(words) > 12").count() > 0
