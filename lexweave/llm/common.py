@@ -13,9 +13,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, one of our own in a single process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,9 +48,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ascii_lower(text):
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[list, list]:
+    """(columns under names that no operator uses, the same renamed back): an operator carries a caller's columns through as the first,
+    so none can clash with its own."""
+    names = [(f"own{i}_", c) for i, c in enumerate(df.columns) if c not in without]
+    return [F.col(quoted(c)).alias(k) for k, c in names], [F.col(k).alias(c) for k, c in names]
 
 
 def connected_components(work: Workspace, edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:

@@ -1,11 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
 Equal lines are collapsed first. A line's shingles are the runs of ``WIDTH`` characters from every position of it, whatever its
-script or spaces; its signature holds, for each of ``BANDS`` bands, the smallest of ``ROWS`` hashes of the shingles of the
-band's class. Lines that agree on all rows of a band are candidates: 12 bands of 4 rows miss a pair of similarity 0.8 in 2 of
-1000 cases, and surer ones less. Classes do not lower that: where one class is less similar than the whole, another is more, and
-short lines differ in one class alone. Every line of a band's bucket is compared with a few of them by the exact Jaccard
-similarity of their shingles; then lines of a bucket that links have not joined are compared if they share one of their rarest
+script or spaces. A shingle's hash deals it to one of ``BANDS`` classes, and a class's band of the signature is the smallest of
+``ROWS`` hashes of its shingles: every shingle takes part in one band. Lines that agree on a band are candidates. Were all classes
+as similar as the whole line, 8 bands of 3 rows would miss a pair of similarity 0.8 in 3 of 1000 cases; as they are not, one class
+being more alike where another is less, fewer are missed, and of short lines, whose few different shingles leave most classes
+equal, none (the tests measure this on lines). Every line of a band's bucket is compared with a few of them by the exact Jaccard
+similarity of all their shingles; then lines of a bucket that links have not joined are compared if they share one of their rarest
 shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line (by
 document, then place) stays.
 """
@@ -15,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, small
+from .common import Workspace, connected_components, own_columns, quoted, small
 
-WIDTH, ROWS, BANDS, SIMILARITY = 9, 4, 12, 0.8
-#: Shingles fall into classes by their hash, and each band sees one class: a shingle takes part in BANDS / CLASSES bands only.
-CLASSES = 2
+WIDTH, ROWS, BANDS, SIMILARITY = 9, 3, 8, 0.8
 #: Shorter lines (in characters) are not compared. By default all lines but blank ones are.
 MIN_CHARS = 1
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
@@ -27,42 +26,68 @@ MIN_CHARS = 1
 HEADS = 3
 
 
-def shingles(line):
-    """Runs of WIDTH characters from every position of the lower-cased line; a shorter line is one shingle, the whole of it."""
-    low = F.lower(line)
-    runs = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))
-    return F.when(F.length(low) < WIDTH, F.array(low)).otherwise(runs)
+def characters(line):
+    """The lower-cased line as four bytes for each character, so that any run of characters is cut out at once."""
+    return F.encode(F.lower(line), "UTF-32")
 
 
-def shingle_set(line):
-    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+def places(chars):
+    """First characters of the runs of WIDTH characters of a line; a shorter line is one run, the whole of it."""
+    return F.sequence(F.lit(0), F.greatest(F.octet_length(chars).cast("int") / 4 - WIDTH, F.lit(0)).cast("int"))
+
+
+def shingle(chars, place):
+    return F.xxhash64(F.substring(chars, place * 4 + 1, F.lit(4 * WIDTH)))
+
+
+def shingle_set(chars):
+    """Distinct shingles of a column of ``characters`` (a column: an expression would be worked out for every place)."""
+    return F.array_distinct(F.transform(places(chars), lambda i: shingle(chars, i)))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_doc, _key, _no, line, line_id) of every line that can be a duplicate; _key tells documents apart that share an id."""
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    text = F.col(quoted(text_col))
+    d = docs.where(text.isNotNull()).select(F.col(quoted(id_col)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     d = d.select("_doc", "_key", F.posexplode(F.split("_text", "\n")).alias("_no", "line"))  # a second step, else the key is taken for each line
     return d.where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S")).withColumn("line_id", F.xxhash64("line"))
 
 
+def other_hash(line):
+    """A second hash of a line: with line_id, 128 bits tell lines apart."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def constants() -> list[int]:
-    """One odd factor below 2^31 for each hash of a class's signature: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
+    """One odd factor below 2^31 for each row of a band: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
     out, x = [], 0x243F6A8885A308D3
-    for _ in range(ROWS * BANDS // CLASSES):
+    for _ in range(ROWS):
         x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
         out.append(x >> 33 | 1)
     return out
 
 
+def signatures(cut: DataFrame) -> DataFrame:
+    """(line_id, band) of lines (line_id, chars): a line has a band of each class that it has shingles in."""
+    # outer, as else a filter is made up that works the places out once more; they are never empty
+    cut = cut.select("line_id", "chars", F.explode_outer(places(F.col("chars"))).alias("place")).select("line_id", shingle(F.col("chars"), F.col("place")).alias("x"))
+    cut = cut.select("line_id", F.expr(f"cast(pmod(x, {BANDS}) as int)").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
+    signed = cut.groupBy("line_id", "class").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
+    return signed.select("line_id", F.xxhash64("class", *[f"m{i}" for i in range(ROWS)]).alias("band"))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, line).
 
     The sets are cut from the lines after the join: they are eight times as large as the lines."""
     left = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
+    both = both.select("a", "b", characters(F.col("la")).alias("ca"), characters(F.col("lb")).alias("cb"))
+    both = both.select("a", "b", shingle_set(F.col("ca")).alias("sa"), shingle_set(F.col("cb")).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return both.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # as a generator, which the optimiser does not push down: a filter would work out the sets anew for every place
+    fits = F.when(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.explode_outer(fits).alias("fits")).where("fits = 1").select("u", "v")
 
 
 def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -70,7 +95,8 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
 
     Such a pair shares one of the rarest shingles of each: of n shingles, in order of frequency, the first n - ceil(threshold n) + 1.
     Where the first shared one stands in both bounds how many can be shared, which drops most pairs before they are made."""
-    each = work.table(left.join(texts, "line_id").select("line_id", "root", shingle_set(F.col("line")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode("s").alias("shingle")), "rest")
+    each = left.join(texts, "line_id").select("line_id", "root", characters(F.col("line")).alias("chars"))
+    each = work.table(each.select("line_id", "root", shingle_set(F.col("chars")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("shingle")), "rest")
     rare = each.groupBy("shingle").agg(F.count("*").alias("df"))
     by = Window.partitionBy("line_id").orderBy("df", "shingle")
     ranked = each.join(rare, "shingle").withColumn("at", F.row_number().over(by) - 1)
@@ -84,15 +110,17 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
 
 def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
-    at = work.table(lines(docs, id_col, text_col, min_chars).select("_doc", "_key", "_no", "line_id"), "at")
-    distinct = lines(docs, id_col, text_col, min_chars).groupBy("line_id").agg(F.first("line").alias("line"))
-    cut = distinct.select("line_id", F.explode(shingles(F.col("line"))).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("x"))
-    cut = cut.select("line_id", F.expr(f"pmod(x, {CLASSES})").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
-    signed = cut.groupBy("line_id", "class").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
-    bands = F.array(*[F.xxhash64("class", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS // CLASSES)])
-    known = work.table(signed.select("line_id", bands.alias("bands")), "lines")
+    at = work.table(lines(docs, id_col, text_col, min_chars).select("_doc", "_key", "_no", "line_id", other_hash(F.col("line")).alias("other")), "at")
+    # different lines under one id, as happens to a few of 10^11, are not compared: they stay
+    torn = at.groupBy("line_id").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("line_id")
+    torn = work.table(torn, "torn")
+    whole = (lambda df: df) if torn.isEmpty() else (lambda df: df.join(small(torn), "line_id", "left_anti"))
+    at = whole(at).drop("other")
+    distinct = whole(lines(docs, id_col, text_col, min_chars)).groupBy("line_id").agg(F.first("line").alias("line"))
+    cut = distinct.select("line_id", characters(F.col("line")).alias("chars"))
+    signed = signatures(cut)
+    entry = work.table(signed, "bands")
 
-    entry = known.select("line_id", F.explode("bands").alias("band"))
     heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
@@ -105,11 +133,18 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     heads = F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(m).cast("long")) for i, m in enumerate(masks)]))
     heads = F.when(F.col("n") > 2, heads).otherwise(F.slice(heads, 1, 1))
     split = work.table(split.select("band", "n", heads.alias("heads")), "split")
-    against = split.select("band", F.explode("heads").alias("head"))
-    pairs = members.join(small(work.table(against, "against")), "band").where("line_id <> head")
-    pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b")).distinct()
-    found = work.table(similar(pairs, texts, threshold), "links")
-    root = work.table(connected_components(work, found, "cc"), "roots_first")
+    against = work.table(split.select("band", F.posexplode("heads").alias("at", "head")), "against")
+    # with the first head first; with the others only lines that are not yet in its component
+    root, found = None, None
+    for first in (True, False):
+        pairs = members.join(small(against.where("at = 0" if first else "at > 0").select("band", "head")), "band").where("line_id <> head")
+        pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b")).distinct()
+        for x in () if first else ("a", "b"):
+            pairs = pairs.join(small(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+        pairs = pairs if first else pairs.where("ra <> rb").select("a", "b")
+        more = work.table(similar(pairs, texts, threshold), f"links{int(first)}")
+        found = more if first else root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+        root = work.table(connected_components(work, found, f"cc{int(first)}_"), f"roots{int(first)}")
 
     # buckets with two lines or more beside the heads may hold lines that are still apart
     open_bands = work.table(split.where("n - size(heads) > 1").select("band"), "open")
@@ -142,14 +177,15 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id"
     """
     work = Workspace(docs.sparkSession, "lines")
     gone = duplicate_lines(work, docs, threshold, id_col, text_col, min_chars)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    d = docs.select(*[F.col(c) for c in own], F.xxhash64(text_col).alias("_k"))
-    d = d.join(small(gone, 300_000), (d[id_col].eqNullSafe(gone["_doc"])) & (d["_k"] == gone["_key"]), "left")
-    every = F.split(text_col, "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")
+    held, back = own_columns(docs, ("n_lines", "n_dropped"))
+    d = docs.select(*held, F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"), F.xxhash64(F.col(quoted(text_col))).alias("_k"))
+    d = d.join(small(gone, 300_000), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    every = F.split("_text", "\n")
+    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(every)).cast("long")
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return d.select(*[text.alias(c) if c == text_col else k for c, k in zip(names, back, strict=True)], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
