@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import decontaminate, language_id, line_dedup, mixing, simhash
-from lexweave.llm.common import Workspace, small
+from lexweave.llm.common import Workspace, own_columns, small
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go: no letters, or a margin under MIN_MARGIN. Dictionaries are of the stage's own documents."""
-    found = language_id.identify(docs, keep_text=True)
-    return found.where("not rejected").select(*docs.columns)
+    held, back = own_columns(docs)
+    at = {c: f"own{i}_" for i, c in enumerate(docs.columns)}
+    found = language_id.identify(docs.select(*held), id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"], keep_text=True)
+    return found.where("not rejected").select(*back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +34,18 @@ def _digest():
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: the one with the smallest id, null ids last, then by a digest of the text (of rows that repeat
-    id and text any one). Rows of other groups stay, whatever their ids. Shingles of five words."""
+    id and text any one). Rows of other groups stay, whatever their ids. Groups are linked by a similarity of 0.8 or more of their
+    shingles of five words (see simhash.similar_groups)."""
     work = Workspace(spark, "pipeline-simhash")
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), _digest().alias("digest"))
-    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), width=5, id_col="row")
+    found = simhash.similar_groups(docs.select(row.alias("row"), "text"), id_col="row")
     groups = work.table(found.select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"), (~F.col("row").eqNullSafe(F.col("component_id"))).alias("copy")), "groups")
     gone = work.table(groups.where("copy").select("_id", "_digest").distinct(), "gone")
-    keyed = docs.withColumn("_k", _digest())
-    kept = keyed.join(small(gone), keyed.doc_id.eqNullSafe(gone["_id"]) & keyed["_k"].eqNullSafe(gone["_digest"]), "left_anti")
+    held, back = own_columns(docs)
+    keyed = docs.select(*held, F.col("doc_id").alias("id"), _digest().alias("k"))
+    kept = keyed.join(small(gone), keyed["id"].eqNullSafe(gone["_id"]) & keyed["k"].eqNullSafe(gone["_digest"]), "left_anti")
     twice = groups.groupBy("_id", "_digest").agg(F.count("*").alias("n")).where("n > 1")
-    return (kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "_k"])).drop("_k")
+    return (kept if twice.isEmpty() else kept.dropDuplicates(["id", "k"])).select(*back)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +55,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keyed = docs.select(_digest().alias("doc_id"), "text")
     found = decontaminate.contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
     gone = work.table(found, "gone")
-    own = docs.withColumn("_k", _digest())
-    return own.join(small(gone), own["_k"] == gone["_digest"], "left_anti").drop("_k")
+    held, back = own_columns(docs)
+    own = docs.select(*held, _digest().alias("k"))
+    return own.join(small(gone), own["k"] == gone["_digest"], "left_anti").select(*back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

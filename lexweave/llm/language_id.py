@@ -7,14 +7,13 @@ are summed. The margin is the share by which the smallest size is under the seco
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Sample bound: so many labelled documents a language, those with the smallest hashes of their id, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
+#: Sample bound: at most so many labelled documents a language, those with the smallest hashes of their id, in that order and each
+#: whole, until they fill the dictionary (the last one is cut where it is full).
+SAMPLE_DOCS = 400
 DICT_BYTES = 1 << 17
 BLOCK = 4096
 LEVEL = 3
@@ -22,7 +21,6 @@ LEVEL = 3
 MIN_MARGIN = 0.002
 
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def normal(text: str) -> bytes:
@@ -30,17 +28,29 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_ASCII).split())
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character has a Unicode category of letters."""
+    return any(map(str.isalpha, text))
+
+
 def sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content by language, the language with the most labelled texts first; bounded by languages x documents x
-    characters, whatever the input's size."""
+    """Raw dictionary content by language, the language with the most labelled texts first; bounded by languages x DICT_BYTES and one
+    text each, whatever the input's size. The hash has to be small enough first, for eight times the documents wanted, so that few
+    rows of a language meet in the task that ranks them."""
     part = docs.select(
-        F.col(lang_col).alias("lang"),
+        F.col(lang_col).cast("string").alias("lang"),
         F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("h"),
-        F.substring(text_col, 1, SAMPLE_CHARS).alias("text"),
+        F.col(text_col).cast("string").alias("text"),
     ).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     share = {r.lang: r["count"] for r in part.groupBy("lang").count().collect()}
+    steps = 1 << 30
+    most = [(k, max(1, min(steps, 8 * docs_per_lang * steps // n))) for k, n in share.items()]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long"))  # one row a language
+    part = part.join(limits, "lang").where(F.pmod("h", F.lit(steps)) < F.col("most")).withColumn("size", F.octet_length("text"))
     rank = Window.partitionBy("lang").orderBy("h", "text")
-    rows = part.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect()
+    before = F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    rows = part.withColumn("r", F.row_number().over(rank)).withColumn("before", before)
+    rows = rows.where(f"r <= {docs_per_lang} and before < {2 * DICT_BYTES}").orderBy("lang", "r").select("lang", F.substring("text", 1, DICT_BYTES).alias("text")).collect()
     out: dict[str, bytes] = {}
     for row in rows:
         done = out.get(row.lang, b"")
@@ -64,7 +74,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score, margin); of languages with the same size the one with the most labelled texts."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0, 0.0
         sizes = self.sizes(normal(text))
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
