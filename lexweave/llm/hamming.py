@@ -10,8 +10,6 @@ Copies are collapsed: the index holds distinct codes, each with its k smallest i
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +27,13 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def segments(n: int) -> int:
-    """Segments of about log2(n) bits, of those that divide 64 evenly."""
-    return 8 if n < 1 << 9 else 4 if n < 1 << 24 else 2
+    """Segments of 8 or 16 bits: values of a segment stay few enough to be listed, at any number of codes."""
+    return 8 if n < 1 << 9 else 4
 
 
-def masks(spark: SparkSession, width: int, r: int) -> DataFrame:
-    """(r, flip): the values of ``width`` bits with r bits set."""
-    if width <= 16:
-        return spark.range(1 << width).where(F.expr(f"bit_count(id) = {r}")).select(F.lit(r).alias("r"), F.col("id").alias("flip"))
-    return spark.createDataFrame([(r, sum(1 << b for b in c)) for c in combinations(range(width), r)], "r int, flip long")
+def flips(width: int, r: int):
+    """The values of ``width`` bits (16 at most) with r bits set, as a constant array."""
+    return F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = None) -> DataFrame:
@@ -66,10 +62,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = Non
     apart = lambda s: f"bit_count(shiftrightunsigned(q ^ code, {s * width}) & {mask}L)"
     for i, (r, segs) in enumerate(steps):
         covered = m * r + segs[-1] + 1  # codes nearer than this have been met
-        flips = masks(codes.sparkSession, width, r)
         own = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.expr(value(s)).alias("val")) for s in segs])).alias("own")
-        probes = open_q.select(F.col("code").alias("q"), "far", own).select("q", "far", "own.seg", "own.val", F.lit(r).alias("r"))
-        probes = probes.join(F.broadcast(flips), "r").select("q", "far", "seg", F.expr("val ^ flip").alias("val"))
+        probes = open_q.select(F.col("code").alias("q"), "far", own).select("q", "far", "own.seg", "own.val", F.explode(flips(width, r)).alias("flip"))
+        probes = probes.select("q", "far", "seg", F.expr("val ^ flip").alias("val"))
         # verified in the join: met by no step before (a nearer segment, or one as near and earlier), and no farther than the k-th yet
         new = " and ".join(f"({apart(s)} > {r} or {apart(s)} = {r} and {s} >= seg)" for s in range(m))
         probes = probes.withColumnRenamed("seg", "at").withColumnRenamed("val", "probe")

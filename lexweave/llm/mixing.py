@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small
+from .common import Workspace, own_columns, small
 
 SEED, EPOCHS, BUCKETS = 17, 4, 4096
 LEVELS = ("domain", "lang", "source")
@@ -83,34 +83,48 @@ def mix(docs: DataFrame, share: int = SHARE, weights: dict | None = None, domain
     """
     work = Workspace(docs.sparkSession, "mixing")
     weights = weights if weights is not None else {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    own = docs.columns
-    d = docs.withColumns({
-        "_domain": F.expr(domain), "_lang": F.coalesce("lang", F.lit("unknown")), "_source": F.coalesce("source", F.lit("unknown")),
-        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_n": n_words(F.col("text").cast("string")),
-    }).where("_n > 0")
+    held, back = own_columns(docs, ("epochs", "part_tokens"))
     keys = ["_domain", "_lang", "_source"]
-    leaf = d.groupBy(*keys).agg(F.sum("_n").alias("tokens")).select(*(F.col(k).alias(k[1:]) for k in keys), "tokens")
+    named = docs.select(
+        *held, F.col("doc_id"), F.expr(domain).alias("_domain"), F.coalesce("lang", F.lit("unknown")).alias("_lang"),
+        F.coalesce("source", F.lit("unknown")).alias("_source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
+        F.col("text").cast("string").alias("_text"),
+    ).where(F.col("_text").rlike("[^\\x09-\\x0D\\x20]"))
+    # words are counted once; sums and orders come from this narrow table
+    count = work.table(named.select("doc_id", *keys, "_id", n_words(F.col("_text")).alias("_n")), "counted")
+    leaf = count.groupBy(*keys).agg(F.sum("_n").alias("tokens")).select(*(F.col(k).alias(k[1:]) for k in keys), "tokens")
     leaf = work.table(leaf, "leaves")
     total = leaf.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(share)} div 100").alias("t")).first().t
     quota = work.table(budgets(leaf, F.lit(total).cast("long"), weights, epochs).select(
         *LEVELS, "quota", F.expr("quota div tokens").alias("epochs"), F.expr("quota % tokens").alias("rest")), "quotas")
     q = quota.select(*(F.col(k).alias(f"_{k}") for k in LEVELS), F.col("epochs").alias("_epochs"), F.col("rest").alias("_rest"))
-    d = d.join(small(q), keys).withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_epochs", "_id")), 1, 14), 16, 10).cast("long"))
-    d = d.withColumn("_bucket", F.expr(f"_h div {(1 << 56) // buckets}"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_epochs", "_id")), 1, 14), 16, 10).cast("long")
+        return df.join(small(q), keys).withColumn("_h", hashed).withColumn("_bucket", F.expr(f"_h div {(1 << 56) // buckets}"))
+
+    d = placed(count)
     sums = work.table(d.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest")), "buckets")
     before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket"))
     edge = sums.withColumn("_upto", before).where("_upto > _rest").groupBy(*keys).agg(F.expr("min_by(struct(_bucket as edge, _upto - _sum as before), _bucket)").alias("_e"))
     edge = work.table(edge.select(*keys, F.col("_e.edge").alias("_edge"), F.col("_e.before").alias("_before")), "edges")
-    d = d.join(small(edge), keys)  # every leaf has an edge, as rest < tokens
-    flat = d.where("_bucket <> _edge").withColumn("_part", F.expr("case when _bucket < _edge then _n else 0L end"))
     run = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, 0))
-    cut = d.where("_bucket = _edge").withColumn("_run", run)
-    cut = cut.withColumn("_part", F.expr("greatest(0L, least(_n, _rest - _before - (_run - _n)))")).drop("_run")
-    taken = flat.unionByName(cut).where("_epochs > 0 or _part > 0")
+
+    def parted(df: DataFrame) -> DataFrame:
+        """Rows with their part; every leaf has an edge, as rest < tokens."""
+        at = df.join(small(edge), keys)
+        flat = at.where("_bucket < _edge or _bucket > _edge and _epochs > 0").withColumn("_part", F.expr("case when _bucket < _edge then _n else 0L end"))
+        cut = at.where("_bucket = _edge").withColumn("_run", run)
+        cut = cut.withColumn("_part", F.expr("greatest(0L, least(_n, _rest - _before - (_run - _n)))")).drop("_run")
+        return flat.unionByName(cut.where("_epochs > 0 or _part > 0"))
+
     more = [F.col("_epochs").alias("epochs"), F.col("_part").alias("part_tokens")]
-    if full:
-        return taken.select(*(F.col(c) for c in own if c not in ("epochs", "part_tokens")), *more)
-    return taken.select("doc_id", *(F.col(k).alias(k[1:]) for k in keys), F.col("_n").alias("n_tokens"), *more)
+    if not full:
+        return parted(d).select("doc_id", *(F.col(k).alias(k[1:]) for k in keys), F.col("_n").alias("n_tokens"), *more)
+    # whole rows: words are only counted again of those that are taken as a whole or stand in the edge's bucket
+    rows = placed(named).join(small(edge), keys).where("_epochs > 0 or _bucket <= _edge")
+    held_n = rows.withColumn("_n", n_words(F.col("_text"))).drop("_edge", "_before", "_text")
+    return parted(held_n).select(*back, *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

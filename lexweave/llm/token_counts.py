@@ -122,22 +122,22 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache: str, id
 
     Returns one row per input row: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``). A null text counts as
     empty; empty texts have no tokens; repeated ids and texts keep their rows; other columns of ``docs`` are ignored; an empty
-    table gives an empty result. Texts are encoded whole. The cache rows are (version, digest, n_tokens); a row that two
-    concurrent calls both append is read once.
+    table gives an empty result. Texts are encoded whole. The cache rows are (digest, n_tokens), in a folder for each version; a row
+    that two concurrent calls both append is read once.
     """
     version = tokenizer_version(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     norm = F.trim(F.translate(text, "\n\r\t", "   ")) if drops_space(path) else text
     base = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(norm, 256)).alias("digest"))
     distinct = base.groupBy("digest").agg(F.first("text").alias("text"))
-    schema = "version string, digest binary, n_tokens long"
+    schema = "digest binary, n_tokens long, version string"
 
     def stored() -> DataFrame:
         return spark.read.schema(schema).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    spark.createDataFrame([], schema).write.mode("append").parquet(cache)
+    spark.createDataFrame([], schema).write.partitionBy("version").mode("append").parquet(cache)
     missing = distinct.join(stored(), "digest", "left_anti")
-    encode(missing, path).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    encode(missing, path).withColumn("version", F.lit(version)).write.partitionBy("version").mode("append").parquet(cache)
     keys = base.select(F.col(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keys.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

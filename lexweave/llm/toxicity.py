@@ -28,16 +28,17 @@ FOLDS = {
     "а": "a", "ɑ": "a", "α": "a", "в": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ё": "e", "ε": "e", "ɡ": "g", "һ": "h", "і": "i",
     "ї": "i", "ι": "i", "ı": "i", "ј": "j", "к": "k", "κ": "k", "ⅼ": "l", "м": "m", "ո": "n", "η": "n", "о": "o", "ο": "o", "р": "p",
     "ρ": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "τ": "t", "υ": "u", "ѵ": "v", "ν": "v", "ѡ": "w", "х": "x", "χ": "x", "у": "y", "γ": "y",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 }
+_DIGITS = str.maketrans("0134578", "oieastb")
 _FOLD = {ord(k): v for k, v in FOLDS.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060)}
+_DIGIT = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[^\W\d_])")
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Folded words, each between single spaces; a sign or digit counts as a letter only within or beside letters."""
-    text = text.lower().translate(_FOLD)
+    """Folded words, each between single spaces; digits count as letters only in a run beside a letter, signs only between letters."""
+    text = _DIGIT.sub(lambda m: m.group().translate(_DIGITS), text.lower().translate(_FOLD))
     if "@" in text or "$" in text:
         text = _SIGN.sub(lambda m: "a" if m.group() == "@" else "s", text)
     return f" {_OTHER.sub(' ', text).strip()} "
