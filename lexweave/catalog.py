@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import evaluate, ngrams, spell
+from .operators import deps, evaluate, ngrams, passage, spell
 from .plans import decoders as D
+from .sources import corpora
+from .sources.tables import spread
 from .streaming import editor
 
 FLAGSHIP = "trigram_document_perplexity"
@@ -31,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def sents(spark: SparkSession, d: str, lang: str | None = "en", least: int = 1) -> DataFrame:
@@ -76,12 +78,7 @@ def word_predicates(spark: SparkSession, d: str) -> DataFrame:
 g as (select doc_id, i, case when i = 1 or x in ('.', ',', '!', '?', ';', ':', ')', ']', '}}', '''', '"') or right(lag(x) over (partition by doc_id order by i), 1) in ('(', '[', '{{', '"') then x else ' ' || x end as x from e)
 select doc_id, md5(coalesce(string_agg(x, '' order by i), '')) as digest from t left join g using (doc_id) group by doc_id""")
 def detokenize_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The window form of detokenize: a separator from each token and the one before, then one join of the strings."""
-    t = docs(spark, d).select("doc_id", F.posexplode_outer(T.tokenize(F.col("text"))).alias("i", "x"))
-    prev = F.lag("x").over(Window.partitionBy("doc_id").orderBy("i"))
-    glued = prev.isNull() | F.col("x").isin(*".,!?;:)]}'\"") | F.right(prev, F.lit(1)).isin(*"([{\"")
-    t = t.withColumn("s", F.when(glued, F.col("x")).otherwise(F.concat(F.lit(" "), F.col("x"))))
-    return t.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda z: z["s"]), "")).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(F.coalesce(T.detokenize(T.tokenize(F.col("text"))), F.lit(""))).alias("digest"))
 
 
 @query(f"with {S} select word, cast(count(*) as bigint) as n from tok group by word")
@@ -130,14 +127,28 @@ def sentence_perplexity(spark: SparkSession, d: str) -> DataFrame:
 SPLIT = "('0x' || substr(md5('7:' || {0}), 1, 8))::bigint % 10"
 
 
-@query(rf"""with {S}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tr as (select * from b where b < 8), tt as (select unnest(words) as word from tr),
-u as (select word, count(*) as n from tt group by word), st as (select count(*) + 1 as v from u), g as ({gram_sql(3, source="tr")}), c3 as (select w1, w2, w3, count(*) as n from g group by all), c2 as (select w1, w2, sum(n) as c from c3 group by all),
-dv as (select * from b where b >= 8), q as ({gram_sql(3, source="dv")}), ks as (select unnest([0.001, 0.01, 0.05, 0.1, 0.5, 1.0])::double as k)
-select k, round(exp(-sum(ln((coalesce(c3.n, 0) + k) / (coalesce(c2.c, 0) + k * v))) / count(*)), 2) as perplexity from q left join c3 using (w1, w2, w3) left join c2 using (w1, w2), st, ks group by k""")
+def sweep_sql(n: int) -> str:
+    cols = ", ".join(f"w{i + 1}" for i in range(n))
+    ctx = ", ".join(f"w{i + 1}" for i in range(n - 1))
+    return rf"""g{n} as ({gram_sql(n, source="tr")}), c{n} as (select {cols}, count(*) as n from g{n} group by all), x{n} as (select {ctx}, sum(n) as c from c{n} group by all),
+q{n} as ({gram_sql(n, source="dv")}), p{n} as (select k, exp(-sum(ln((coalesce(c{n}.n, 0) + k) / (coalesce(x{n}.c, 0) + k * v))) / count(*)) as perplexity from q{n} left join c{n} using ({cols}) left join x{n} using ({ctx}), st, ks group by k)"""
+
+
+SWEEP = rf"""with {S}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tr as (select * from b where b < 8), tt as (select unnest(words) as word from tr), dv as (select * from b where b >= 8),
+u as (select word, count(*) as n from tt group by word), st as (select count(*) + 1 as v from u), ks as (select unnest([0.001, 0.01, 0.05, 0.1, 0.5, 1.0])::double as k), {sweep_sql(2)}, {sweep_sql(3)}"""
+
+
+@query(SWEEP + " select k, round(perplexity, 2) as perplexity from p3")
 def k_sweep_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    s = sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10))
-    train, dev = s.where("b < 8").drop("b"), s.where("b >= 8").drop("b")
-    return ngrams.tune(train, dev, 3).select("k", F.round("perplexity", 2).alias("perplexity"))
+    return ngrams.tune(_train(spark, d), _held_out(spark, d).select("words"), 3).select("k", F.round("perplexity", 2).alias("perplexity"))
+
+
+@query(SWEEP + " select 2::bigint as n, arg_min(k, (perplexity, k)) as k, round(min(perplexity), 2) as perplexity from p2 union all select 3::bigint, arg_min(k, (perplexity, k)), round(min(perplexity), 2) from p3")
+def tuned_k(spark: SparkSession, d: str) -> DataFrame:
+    """The k of the least held-out perplexity (of equals the smaller) for bigrams and trigrams."""
+    train, dev = _train(spark, d), _held_out(spark, d).select("words")
+    best = [ngrams.tune(train, dev, n).agg(F.expr("min_by(k, struct(perplexity, k))").alias("k"), F.round(F.min("perplexity"), 2).alias("perplexity")).select(F.lit(n).cast("long").alias("n"), "k", "perplexity") for n in (2, 3)]
+    return best[0].unionByName(best[1])
 
 
 @query(rf"""with {S}, u0 as (select word, count(*) as n from tok group by word), u as (select * from u0 union all select '</s>', count(*) from se), st as (select count(*) as v, sum(n) as total from u),
@@ -152,37 +163,38 @@ def interpolated_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 DELS = "list_distinct([substr({0}, 1, i - 1) || substr({0}, i + 1) for i in range(1, len({0}) + 1)])"
-VOCAB = f"with {S}, {UNI}, v as (select word, n from uni where n >= 2 and regexp_full_match(word, '[a-z]+')), x as (select word as q from uni where n = 1 and regexp_full_match(word, '[a-z]+') and len(word) between 4 and 12)"
+VOCAB = f"with {S}, {UNI}, v as (select word, n from uni where regexp_full_match(word, '[a-z]+')), x as (select word as q from v)"
+ODD = f"with {S}, {UNI}, v as (select word, n from uni where n >= 2 and regexp_full_match(word, '[a-z]+')), x as (select word as q from uni where n = 1 and regexp_full_match(word, '[a-z]+'))"
 CAND = f"""pk as (select q, unnest(list_distinct([q] || {DELS.format("q")})) as key from x), vk as (select word, unnest(list_distinct([word] || {DELS.format("word")})) as key from v),
 cand as (select distinct q as word, word as candidate from pk join vk using (key) where q <> word and damerau_levenshtein(q, word) <= 1)"""
 
 
-def _vocab(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    uni = tokens(sents(spark, d)).groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n")).where("w rlike '^[a-z]+$'")
-    return uni.where("n >= 2"), uni.where("n = 1 and length(w) between 4 and 12").select(F.col("w").alias("word"))
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(sents(spark, d)).groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n")).where("w rlike '^[a-z]+$'")
 
 
 @query(VOCAB + f", k as (select word, unnest(list_distinct([word] || {DELS.format('word')})) as key from v) select key, word from k")
 def deletion_index(spark: SparkSession, d: str) -> DataFrame:
-    return spell.delete_index(_vocab(spark, d)[0].select(F.col("w").alias("word")))
+    return spell.delete_index(_vocab(spark, d).select(F.col("w").alias("word")))
 
 
 @query(VOCAB + ", " + CAND + " select word, candidate from cand")
 def symdelete_candidates(spark: SparkSession, d: str) -> DataFrame:
-    known, odd = _vocab(spark, d)
-    return spell.candidates(odd, known.select(F.col("w").alias("word")), "symdelete")
+    known = _vocab(spark, d).select(F.col("w").alias("word"))
+    return spell.candidates(known, known, "symdelete")
 
 
 @query(VOCAB + ", " + CAND + " select word, candidate from cand")
 def edits1_candidates(spark: SparkSession, d: str) -> DataFrame:
-    known, odd = _vocab(spark, d)
-    return spell.candidates(odd, known.select(F.col("w").alias("word")), "edit")
+    known = _vocab(spark, d).select(F.col("w").alias("word"))
+    return spell.candidates(known, known, "edit")
 
 
-@query(VOCAB + ", " + CAND + " select q as word, coalesce(arg_max(candidate, (n, candidate)), q) as corrected from x left join cand on x.q = cand.word left join v on v.word = cand.candidate group by q")
+@query(ODD + ", " + CAND + " select q as word, coalesce(arg_max(candidate, (n, candidate)), q) as corrected from x left join cand on x.q = cand.word left join v on v.word = cand.candidate group by q")
 def correct_nonword(spark: SparkSession, d: str) -> DataFrame:
-    known, odd = _vocab(spark, d)
-    return spell.correct_nonwords(odd, known)
+    """Words met once are taken for misspelt, words met more often for the vocabulary."""
+    words = _vocab(spark, d)
+    return spell.correct_nonwords(words.where("n = 1").select(F.col("w").alias("word")), words.where("n >= 2"))
 
 
 @query(rf"""with {S}, {UNI}, q as (select doc_id, sent_no, pos, word, coalesce(lag(word) over w, '<s>') as prev, coalesce(lead(word) over w, '</s>') as next from tok where true window w as (partition by doc_id, sent_no order by pos)),
@@ -195,7 +207,7 @@ select best as corrected, word, cast(count(*) as bigint) as n from bst where bes
 def correct_realword(spark: SparkSession, d: str) -> DataFrame:
     s = sents(spark, d)
     w = Window.partitionBy("doc_id", "sent_no").orderBy("pos")
-    t = tokens(s).select(F.struct("doc_id", "sent_no", "pos").alias("tok"), "word", F.coalesce(F.lag("word").over(w), F.lit(T.START)).alias("prev"), F.coalesce(F.lead("word").over(w), F.lit(T.END)).alias("next"))
+    t = tokens(s).select("word", F.coalesce(F.lag("word").over(w), F.lit(T.START)).alias("prev"), F.coalesce(F.lead("word").over(w), F.lit(T.END)).alias("next"))
     found = spell.correct_realwords(t, ngrams.fit(s, 2)).where("corrected <> word")
     return found.groupBy("word", "corrected").agg(F.count("*").alias("n"))
 
@@ -213,7 +225,7 @@ l as (select *, lead(x) over w as y, lead(x, 2) over w as z from e window w as (
 m as (select doc_id, 1 as k, i, 'repeated function word ''' || x || ' ' || y || '''' as s from l where lower(x) = lower(y) and lower(x) in ({FW}) union all select doc_id, 2, i, 'token ''' || x || ''' repeated three times' from l where lower(x) = lower(y) and lower(x) = lower(z))
 select doc_id, md5(string_agg(s, '; ' order by k, i)) as issues from m group by doc_id""")
 def surface_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d).select("doc_id", T.surface_issues(F.split("text", r"\s+")).alias("issues"))
+    t = docs(spark, d).select("doc_id", F.split("text", r"\s+").alias("t")).select("doc_id", T.surface_issues(F.col("t")).alias("issues"))
     return t.where("issues is not null").select("doc_id", F.md5("issues").alias("issues"))
 
 
@@ -227,13 +239,13 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_tokens"))
 
 
-TAGGED = rf"{S}, tg as (select doc_id * 100000 + sent_no as sent, pos, word, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || right(word, 2) end as tag from tok)"
+TAGGED = rf"{S}, tg as (select (doc_id, sent_no) as sent, pos, word, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || right(word, 2) end as tag from tok)"
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in tags from the word's ending, as no tagged text is at hand."""
     tag = F.when(F.length("word") <= 3, F.concat(F.lit("F"), F.right("word", F.lit(1)))).otherwise(F.concat(F.lit("C"), F.right("word", F.lit(2))))
-    return tokens(sents(spark, d)).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("sent"), "pos", "word", tag.alias("tag"))
+    return tokens(sents(spark, d)).select(F.struct("doc_id", "sent_no").alias("sent"), "pos", "word", tag.alias("tag"))
 
 
 @query(f"with {TAGGED} select word, tag, cast(count(*) as bigint) as n from tg group by all")
@@ -251,11 +263,31 @@ def most_frequent_tag(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.tag_counts(tagged(spark, d))["most_frequent"]
 
 
-@query(f"with {TAGGED} select tag as gold, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || left(right(word, 2), 1) || 'n' end as pred, cast(count(*) as bigint) as n from tg group by all")
+SPLIT_TAGS = f"""{S}, sb as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tk as (select b, doc_id, sent_no, unnest(words) as word, generate_subscripts(words, 1) - 1 as pos from sb),
+tg as (select b, (doc_id, sent_no) as sent, pos, word, case when len(word) <= 3 then 'F' || right(word, 1) else 'C' || right(word, 2) end as tag from tk),
+mf as (select word, arg_min(tag, (-n, f)) as best from (select word, tag, count(*) as n, min((sent, pos)) as f from tg where b < 8 group by all) group by word),
+cf as (select tag as gold, coalesce(best, 'UNK') as pred, cast(count(*) as bigint) as n from tg left join mf using (word) where b >= 8 group by all)"""
+
+
+def _confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out tokens by their tag and by the most frequent tag of their word in the training split, position by position."""
+    s = sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10))
+    tag = F.when(F.length("word") <= 3, F.concat(F.lit("F"), F.right("word", F.lit(1)))).otherwise(F.concat(F.lit("C"), F.right("word", F.lit(2))))
+    t = s.select("b", F.struct("doc_id", "sent_no").alias("sent"), F.posexplode("words").alias("pos", "word")).withColumn("tag", tag)
+    gold = t.where("b >= 8").select("sent", "pos", F.col("tag").alias("gold"), "word")
+    pred = evaluate.baseline_tags(gold, evaluate.tag_counts(t.where("b < 8"))["most_frequent"])
+    return evaluate.confusion(gold.select("sent", "pos", "gold").join(pred.select("sent", "pos", "pred"), ["sent", "pos"]))
+
+
+@query(f"with {SPLIT_TAGS} select * from cf")
 def tag_confusion(spark: SparkSession, d: str) -> DataFrame:
-    t = tagged(spark, d)
-    guess = F.when(F.length("word") <= 3, F.concat(F.lit("F"), F.right("word", F.lit(1)))).otherwise(F.concat(F.lit("C"), F.substring(F.right("word", F.lit(2)), 1, 1), F.lit("n")))
-    return evaluate.confusion(t.select(F.col("tag").alias("gold"), guess.alias("pred")))
+    return _confusion(spark, d)
+
+
+@query(f"with {SPLIT_TAGS}, top as (select gold as t from cf group by gold order by sum(n) desc, gold limit 15) select gold, pred, n from cf where gold in (select t from top) and pred in (select t from top)")
+def top_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """The confusion of the 15 tags with most support."""
+    return evaluate.most_supported(_confusion(spark, d), 15)
 
 
 @query(f"with {TAGGED} select tag, cast(count(*) as bigint) as n from tg group by tag order by n desc, tag limit 30")
@@ -279,14 +311,19 @@ def _local(df: DataFrame) -> list:
     return rows
 
 
-def local_lm(s: DataFrame, k: float = 0.1, least: int = 1) -> D.LM:
+def local_counts(s: DataFrame, orders: tuple[int, ...], pad: int, k: float, end: bool = False) -> D.LM:
     """The counts of a corpus as a decoder's tables; their size is checked."""
-    tables = [ngrams.fit(s, n, k, 2, True) for n in (2, 3)]
-    uni = {r.w: r.n for r in _local(tables[0].unigrams.where(F.col("n") >= least))}
-    bi, tri = ({tuple(r)[:n]: r.n for r in _local(t.table.where(F.col("n") >= least))} for n, t in zip((2, 3), tables, strict=True))
+    fits = {n: ngrams.fit(s, n, k, pad, end) for n in orders}
+    uni = {r.w: r.n for r in _local(fits[orders[0]].unigrams)}
+    bi, tri = ({tuple(r)[:n]: r.n for r in _local(fits[n].table)} if n in fits else {} for n in (2, 3))
     return D.LM(uni, bi, tri, k)
 
 
+def local_lm(s: DataFrame, k: float = 0.1) -> D.LM:
+    """The interpolated model's counts: two START, END among the unigrams."""
+    return local_counts(s, (2, 3), 2, k, True)
+
+
 def _train(spark: SparkSession, d: str) -> DataFrame:
     """Frequent-word sentences of a hash split: four fifths of texts, by their content."""
     return sents(spark, d).withColumn("b", T.bucket(F.md5(F.array_join("words", " ")), 7, 10)).where("b < 8").drop("b")
@@ -302,6 +339,12 @@ def _all(spark: SparkSession, d: str) -> DataFrame:
     return sents(spark, d).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "words")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt for a decoder: by a number of partitions, which are not put together as small ones are."""
+    n = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 @query()
 def beam_segment(spark: SparkSession, d: str) -> DataFrame:
     """Held-out sentences without spaces, split by the beam and by the greedy rule: exact matches."""
@@ -315,7 +358,7 @@ def beam_segment(spark: SparkSession, d: str) -> DataFrame:
             pdf["exact"] = pdf["segmented"] == pdf["words"].map(" ".join)
             yield pdf[["doc_id", "sent_no", "segmented", "greedy", "exact"]]
 
-    return _held_out(spark, d).mapInPandas(run, "doc_id long, sent_no long, segmented string, greedy string, exact boolean")
+    return dealt(_held_out(spark, d)).mapInPandas(run, "doc_id long, sent_no long, segmented string, greedy string, exact boolean")
 
 
 def local_tagger(t: DataFrame) -> D.Tagger:
@@ -334,12 +377,15 @@ def viterbi_tags(spark: SparkSession, d: str) -> DataFrame:
             pdf["tags"] = [" ".join(tagger.value.tag(list(w))) for w in pdf["words"]]
             yield pdf[["doc_id", "sent_no", "tags"]]
 
-    return _all(spark, d).mapInPandas(run, "doc_id long, sent_no long, tags string")
+    return dealt(_all(spark, d)).mapInPandas(run, "doc_id long, sent_no long, tags string")
 
 
 def editor_models(spark: SparkSession, d: str):
-    lm = local_lm(_train(spark, d))
-    return spark.sparkContext.broadcast(editor.Models(lm, local_tagger(tagged(spark, d)), lm, lm))
+    """Segmentation and spelling from the training split, windows from all sentences with the k that the held-out split prefers."""
+    train, every = _train(spark, d), sents(spark, d)
+    k = {r.n: r.k for r in tuned_k(spark, d).collect()}
+    bi, tri = (local_counts(every, (n,), n - 1, k[n]) for n in (2, 3))
+    return spark.sparkContext.broadcast(editor.Models(local_lm(train), local_tagger(tagged(spark, d)), local_counts(train, (2,), 1, 0.1), bi, tri))
 
 
 @query()
@@ -347,7 +393,7 @@ def editor_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Conversations typed into the editor: a session a conversation, turns in order."""
     t = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").groupBy(F.col("conv_id").alias("session")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("s"))
     t = t.select("session", F.split(F.trim(F.array_join(F.col("s.text"), " ")), r"\s+").alias("tokens"))
-    return editor.run_batch(t.repartition("session"), editor_models(spark, d))
+    return editor.run_batch(dealt(t, "session"), editor_models(spark, d))
 
 
 @query()
@@ -360,51 +406,252 @@ def correct_sentences(spark: SparkSession, d: str) -> DataFrame:
             pdf["corrected"] = [" ".join(models.value.correct(list(w))) for w in pdf["words"]]
             yield pdf[["doc_id", "sent_no", "corrected"]]
 
-    return _all(spark, d).mapInPandas(run, "doc_id long, sent_no long, corrected string")
+    return dealt(_all(spark, d)).mapInPandas(run, "doc_id long, sent_no long, corrected string")
 
 
-@query()
+MERGED = """hit as (select doc_id, sent_no, words, array_to_string([case when i < len(words) and ('0x' || substr(md5('7:' || doc_id || '-' || sent_no || ':' || (i - 1)), 1, 8))::bigint % 100 < 30 then '1' else '0' end for i in range(1, len(words) + 1)], '') as f from se),
+mk as (select *, regexp_replace(f, '11', '10', 'g') as m from hit)"""
+
+
+@query(f"""with {S}, {MERGED} select doc_id, cast(sent_no as bigint) as sent_no, array_to_string(list_filter([case when i > 1 and m[i - 1] = '1' then null when m[i] = '1' then lower(words[i] || words[i + 1]) else words[i] end for i in range(1, len(words) + 1)], lambda x: x is not null), ' ') as text from mk""")
 def merge_injection(spark: SparkSession, d: str) -> DataFrame:
-    s = _all(spark, d).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("session"), F.col("words").alias("tokens"))
-    return editor.inject_merges(s, 30).select("session", F.array_join("tokens", " ").alias("text"))
+    s = _all(spark, d).select("doc_id", "sent_no", F.concat_ws("-", "doc_id", "sent_no").alias("session"), F.col("words").alias("tokens"))
+    return editor.inject_merges(s, 30).select("doc_id", "sent_no", F.array_join("tokens", " ").alias("text"))
 
 
-@query()
+CORRUPT = rf"""{S}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tr as (select * from b where b < 8), tt as (select unnest(words) as word from tr), u as (select word, count(*) as n from tt group by word), st as (select count(*) + 1 as v from u),
+dv as (select doc_id || '-' || sent_no as id, words, len(words) as n from se where len(words) >= 8),
+hd as (select *, [('0x' || substr(md5(k || ':' || id), 1, 8))::bigint % (1::bigint << 31) for k in [7, 8, 9]] as h from dv),
+pl as (select id, words, n, n // 2 as half, words[1 + h[1] % n] as pick, 1 + h[2] % (n - 5) as a4, 1 + h[3] % (n - 3) as a2 from hd),
+kd as (select id, 'clean' as kind, words from pl union all select id, 'duplicate_token', words[1:half] || [pick] || words[half + 1:n] from pl union all select id, 'drop_middle_token', words[1:half] || words[half + 2:n] from pl
+  union all select id, 'reverse_span4', words[1:a4] || list_reverse(words[a4 + 1:a4 + 4]) || words[a4 + 5:n] from pl union all select id, 'swap_adjacent', words[1:a2] || list_reverse(words[a2 + 1:a2 + 2]) || words[a2 + 3:n] from pl)"""
+
+
+def ppl_sql(n: int, source: str, keys: str, train: str, k: float, out: str) -> str:
+    """CTE ``out``: keys and perplexity of the sentences of ``source`` under the counts of ``train``; wants st."""
+    cols, ctx = ", ".join(f"w{i + 1}" for i in range(n)), ", ".join(f"w{i + 1}" for i in range(n - 1))
+    return f"""{out}g as ({gram_sql(n, source=source, keys=keys)}), {out}t as (select {cols}, count(*) as n from ({gram_sql(n, source=train, keys="1 as one")}) group by all), {out}c as (select {ctx}, sum(n) as c from {out}t group by all),
+{out} as (select {keys}, case when count(*) = 1 then 'inf'::double else exp(-sum(ln((coalesce({out}t.n, 0) + {k}::double) / (coalesce({out}c.c, 0) + {k}::double * v))) / count(*)) end as {out} from {out}g left join {out}t using ({cols}) left join {out}c using ({ctx}), st group by all)"""
+
+
+@query(f"""with {CORRUPT}, {ppl_sql(3, "kd", "id, kind", "tr", 0.1, "tri")}, {ppl_sql(2, "kd", "id, kind", "tr", 0.1, "bi")}, p as (select id, kind, round(tri, 6) as tri, round(bi, 6) as bi from tri join bi using (id, kind)),
+cut as (select quantile_cont(tri, 0.5) as low, quantile_cont(tri, 0.8) as high, quantile_cont(bi, 0.8) as big from p where kind = 'clean')
+select kind, cast(count(*) as bigint) as total, cast(sum(case when not (tri < low or (tri >= high and bi < big)) then 1 else 0 end) as bigint) as flagged from p, cut group by kind""")
 def corruption_detection(spark: SparkSession, d: str) -> DataFrame:
     """Share of corrupted sentences that the perplexity rule flags, by kind; thresholds are quantiles of the clean sentences."""
-    train, dev = _train(spark, d), sents(spark, d, least=8).where("size(words) <= 20")
+    train, dev = _train(spark, d), sents(spark, d, least=8)
     dev = dev.select(F.concat_ws("-", "doc_id", "sent_no").alias("id"), "words")
     rows = evaluate.corruptions(dev).unionByName(dev.select("id", F.lit("clean").alias("kind"), "words"))
-    p = ngrams.perplexity(ngrams.fit(train, 3), rows).select("id", "kind", F.col("perplexity").alias("tri"))
-    p = p.join(ngrams.perplexity(ngrams.fit(train, 2), rows).select("id", "kind", F.col("perplexity").alias("bi")), ["id", "kind"])
+    p = ngrams.perplexity(ngrams.fit(train, 3), rows).select("id", "kind", F.round("perplexity", 6).alias("tri"))
+    p = p.join(ngrams.perplexity(ngrams.fit(train, 2), rows).select("id", "kind", F.round("perplexity", 6).alias("bi")), ["id", "kind"])
     cut = p.where("kind = 'clean'").agg(F.percentile("tri", 0.5).alias("low"), F.percentile("tri", 0.8).alias("high"), F.percentile("bi", 0.8).alias("big"))
     flag = ~((F.col("tri") < F.col("low")) | ((F.col("tri") >= F.col("high")) & (F.col("bi") < F.col("big"))))
-    return p.join(F.broadcast(cut)).groupBy("kind").agg(F.count("*").alias("total"), F.sum(flag.cast("long")).alias("flagged"))
+    return p.join(F.broadcast(cut)).groupBy("kind").agg(F.count("*").alias("total"), F.sum(flag.cast("long")).alias("flagged"))  # one row
+
+
+TYPED = r"""wd as (select conv_id, list(w order by turn, p) as words from (select conv_id, turn, unnest(x) as w, generate_subscripts(x, 1) as p from (select conv_id, turn, regexp_extract_all(lower(text), '[\p{L}]+') as x from conversations where text is not null)) group by conv_id)"""
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, words): the words of each conversation in order."""
+    t = spread(spark.read.parquet(f"{d}/conversations.parquet")).where("text is not null").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("p", "w"))
+    return t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "p", "w"))).alias("s")).select("conv_id", F.col("s.w").alias("words"))
+
+
+@query(f"with {TYPED}, n as (select conv_id, len(words) as n from wd) select conv_id, cast(place as bigint) as place, false as flush from (select conv_id, unnest(range(5, n + 1, 5)) as place from n) union all select conv_id, n, true from n where n % 5 <> 0 and n >= 3")
+def trigger_points(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens after which the editor checks a conversation's grammar: every fifth, and the last as the input ends (of three at least)."""
+    n = _typed(spark, d).select("conv_id", F.size("words").cast("long").alias("n"))
+    every = n.where("n >= 5").select("conv_id", F.explode(F.expr("sequence(5L, n - n % 5, 5L)")).alias("place"), F.lit(False).alias("flush"))
+    return every.unionByName(n.where("n % 5 <> 0 and n >= 3").select("conv_id", F.col("n").alias("place"), F.lit(True).alias("flush")))
+
+
+@query(f"""with {S}, {TYPED}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), tr as (select * from b where b < 8), tt as (select unnest(words) as word from tr), u as (select word, count(*) as n from tt group by word), st as (select count(*) + 1 as v from u),
+wi as (select conv_id, place, words[greatest(1, place - 9):place] as words from (select conv_id, words, unnest(range(5, len(words) + 1, 5)) as place from wd)), {ppl_sql(3, "wi", "conv_id, place", "tr", 0.1, "tri")} select conv_id, cast(place as bigint) as place, round(tri, 2) as perplexity from tri""")
+def sliding_window_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity of the last ten words of a conversation, after every fifth."""
+    t = _typed(spark, d).where("size(words) >= 5").select("conv_id", "words", F.explode(F.expr("sequence(5L, size(words) - size(words) % 5, 5L)")).alias("place"))
+    s = t.select("conv_id", "place", F.expr("slice(words, cast(greatest(1, place - 9) as int), cast(least(place, 10) as int))").alias("words"))
+    return ngrams.perplexity(ngrams.fit(_train(spark, d), 3), s).select("conv_id", "place", F.round("perplexity", 2).alias("perplexity"))
+
+
+@query(VOCAB + """, ks as (select word from uni where n >= 2 and len(word) > 1), t as (select word from uni where n = 1 and len(word) > 3),
+c as (select word, substr(word, 1, i) as a, substr(word, i + 1) as r from (select word, unnest(range(2, len(word) - 1)) as i from t)), h as (select c.word, r from c join ks on c.a = ks.word),
+two as (select distinct h.word from h join ks on h.r = ks.word), m as (select word, substr(r, 1, j) as b, substr(r, j + 1) as z from (select word, r, unnest(range(2, len(r) - 1)) as j from h where len(r) > 3)),
+three as (select distinct m.word from m join ks k1 on m.b = k1.word join ks k2 on m.z = k2.word) select word from two union select word from three""")
+def valid_split_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words met once that part in two or three words met more often."""
+    uni = tokens(sents(spark, d)).groupBy("word").agg(F.count("*").alias("n"))
+    return spell.valid_splits(uni.where("n = 1").select("word"), uni.where("n >= 2").select("word"))
+
+
+EDGES = f"""{S}, b as (select *, {SPLIT.format("md5(array_to_string(words, ' '))")} as b from se), ks as (select distinct word from (select unnest(words) as word from b where b < 8) where len(word) > 1 or word in ('a', 'i')),
+q as (select doc_id, sent_no, array_to_string(words, '') as t from b where b >= 8), g as (select doc_id, sent_no, t, unnest(range(0, len(t))) as lo from q), e as (select doc_id, sent_no, lo, lo + k as hi, substr(t, lo + 1, k) as w from (select *, unnest(range(1, least(20, len(t) - lo) + 1)) as k from g)),
+kn as (select doc_id, sent_no, lo, hi from e join ks on e.w = ks.word), al as (select doc_id, sent_no, lo, lo + 1 as hi from g anti join kn using (doc_id, sent_no, lo))"""
+
+
+@query(f"with {EDGES} select doc_id, cast(sent_no as bigint) as sent_no, cast(count(*) as bigint) as n_edges, cast(sum(lo * 31 + hi) as bigint) as digest from (select * from kn union all select * from al) group by all")
+def segmentation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges that held-out sentences without spaces have in the dictionary: the words that begin at each place, else one character."""
+    known = tokens(_train(spark, d)).select("word").distinct()
+    e = spell.dictionary_edges(_held_out(spark, d).select("doc_id", "sent_no", F.array_join("words", "").alias("text")), ["doc_id", "sent_no"], known)
+    return e.groupBy("doc_id", "sent_no").agg(F.count("*").alias("n_edges"), F.sum(F.col("lo") * 31 + F.col("hi")).alias("digest"))
+
+
+@query()
+def segmentation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out sentences without spaces: those that the beam, the greedy rule, and beam and tagger together get right, and tags at
+    positions that both have, by their errors' cause (see evaluate.segmentation)."""
+    lm, tagger = (spark.sparkContext.broadcast(x) for x in (local_lm(_train(spark, d)), local_tagger(tagged(spark, d))))
+
+    def run(batches):
+        for pdf in batches:
+            cut = [D.segment("".join(w), lm.value) for w in pdf["words"]]
+            pdf["segmented"], pdf["predicted"] = cut, [tagger.value.tag(c) for c in cut]
+            pdf["tagged"] = [tagger.value.tag(list(w)) for w in pdf["words"]]
+            pdf["greedy"] = [D.greedy_segment("".join(w), lm.value.vocabulary) for w in pdf["words"]]
+            yield pdf[["words", "tags", "segmented", "greedy", "predicted", "tagged"]]
+
+    s = _held_out(spark, d)
+    gold = F.transform("words", lambda w: F.when(F.length(w) <= 3, F.concat(F.lit("F"), F.right(w, F.lit(1)))).otherwise(F.concat(F.lit("C"), F.right(w, F.lit(2)))))
+    out = ", ".join(f"{c} array<string>" for c in ("words", "tags", "segmented", "greedy", "predicted", "tagged"))
+    return evaluate.segmentation(dealt(s.select("words", gold.alias("tags"))).mapInPandas(run, out))
+
+
+TREES = f"{S}, tr as (select doc_id, sent_no, pos, case when len(word) <= 3 then 'DT' else 'NN' end as tag, word, lead(word) over w as nx, count(*) over (partition by doc_id, sent_no) as n from tok window w as (partition by doc_id, sent_no order by pos))"
+
+
+def _gold_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in dependency trees, as no treebank is at hand: a short word hangs on the next word, others on the last, which is the root."""
+    t = tokens(sents(spark, d)).select(F.concat_ws("-", "doc_id", "sent_no").alias("sent_id"), (F.col("pos") + 1).alias("id"), F.when(F.length("word") <= 3, "DT").otherwise("NN").alias("pos"), F.count("*").over(Window.partitionBy("doc_id", "sent_no")).cast("int").alias("n"))
+    last = F.col("id") == F.col("n")
+    return t.select("sent_id", "id", "pos", F.when(last, 0).when(F.col("pos") == "DT", F.col("id") + 1).otherwise(F.col("n")).alias("head"), F.when(last, "root").when(F.col("pos") == "DT", "det").otherwise("obl").alias("deprel"))
+
+
+@query(f"with {TREES}, m as (select case when pos + 1 = n then 'RIGHT-ARC(root)' when tag = 'DT' then 'LEFT-ARC(det)' else 'LEFT-ARC(obl)' end as transition from tr union all select 'SHIFT' from tr) select transition, cast(count(*) as bigint) as n from m group by all")
+def oracle_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions that build the trees of all sentences."""
+    return deps.training_rows(dealt(_gold_trees(spark, d), "sent_id")).groupBy("transition").agg(F.count("*").alias("n"))
+
+
+LAS = f"with {TREES}, r as (select doc_id || '-' || sent_no as sent_id, case when pos + 1 = n or (tag = 'DT') or (pos + 2 = n) then 1 else 0 end as ok from tr)"
+
+
+def _next_word_arcs(gold: DataFrame) -> DataFrame:
+    """A baseline parse: every word hangs on the next one, labelled by its tag; the last is the root."""
+    last = F.col("id") == F.max("id").over(Window.partitionBy("sent_id"))
+    return gold.select("sent_id", F.col("id").alias("dep"), F.when(last, 0).otherwise(F.col("id") + 1).alias("head"), F.when(last, "root").when(F.col("pos") == "DT", "det").otherwise("obl").alias("label"))
+
+
+@query(LAS + " select sent_id, cast(count(*) as bigint) as n_tokens, cast(sum(ok) as bigint) as n_right, round(100.0::double * sum(ok) / count(*), 4) as las from r group by all")
+def las(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold_trees(spark, d)
+    return evaluate.attachment(gold, _next_word_arcs(gold))
+
+
+@query(LAS + " select cast(count(*) as bigint) as n_tokens, cast(sum(ok) as bigint) as n_right, round(100.0::double * sum(ok) / count(*), 4) as las from r")
+def las_micro(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold_trees(spark, d)
+    return evaluate.micro_attachment(evaluate.attachment(gold, _next_word_arcs(gold)))
+
+
+@query()
+def dependency_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences parsed by the classifier trained on the oracle's steps for all of them: tokens of those it can parse, and right arcs."""
+    gold = dealt(_gold_trees(spark, d), "sent_id")
+    choose = spark.sparkContext.broadcast(deps.train(deps.training_rows(gold)))
+    return evaluate.micro_attachment(evaluate.attachment(gold, deps.parse(gold, choose)))
+
+
+def _treebank(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in treebank, one flat bracketed tree a sentence: (S (DT the) (NN house) ...)."""
+    kids = F.transform("words", lambda w: F.concat(F.when(F.length(w) <= 3, "(DT ").otherwise("(NN "), w, F.lit(")")))
+    return _all(spark, d).select(F.concat(F.lit("(S "), F.array_join(kids, " "), F.lit(")")).alias("tree"))
+
+
+PCFG = f"""{TREES}, k as (select *, lead(tag, 1) over w as t1, lead(tag, 2) over w as t2, lag(tag, 0) over w as t0, n - pos as left_ from tr window w as (partition by doc_id, sent_no order by pos)),
+ru as (select case when pos = 0 then 'S' else 'S|<' || t0 || case when t1 is null then '' else '-' || t1 end || '>' end as lhs, t0 as b, case when n = 1 then '' when left_ = 2 then t1 else 'S|<' || t1 || '-' || t2 || '>' end as c from k where left_ >= 2 or n = 1
+  union all select tag, word, null from tr), rc as (select lhs, b, c, count(*) as n from ru group by all)"""
+
+
+@query(f"with {PCFG} select lhs, b, c, cast(n as bigint) as n, round(ln(n / sum(n) over (partition by lhs)), 9) as logp from rc")
+def pcfg_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The grammar of the treebank in normal form: rules and their log-probabilities."""
+    return evaluate.grammar(evaluate.productions(dealt(_treebank(spark, d)))).withColumn("logp", F.round("logp", 9))
+
+
+def _grammar(spark: SparkSession, d: str):
+    """The treebank's rules over tags, as the parser's table (bounded by the tags): tags stand for themselves as terminals."""
+    rules = evaluate.grammar(evaluate.productions(dealt(_treebank(spark, d)))).where("c is not null").collect()
+    tags = sorted({r.b for r in rules} | {r.c for r in rules if r.c and "|" not in r.c})
+    g = D.Grammar([(r.lhs, r.b, r.c, r.logp) for r in rules if r.c], [(r.lhs, r.b, r.logp) for r in rules if not r.c], [(t, t, 0.0) for t in tags if "|" not in t])
+    return spark.sparkContext.broadcast(g)
+
+
+@query(f"with {PCFG}, lp as (select lhs, b, c, ln(n / sum(n) over (partition by lhs)) as logp from rc) select doc_id, cast(sent_no as bigint) as sent_no, round(sum(logp), 6) as logprob from (select doc_id, sent_no, n, case when pos = 0 then 'S' else 'S|<' || t0 || case when t1 is null then '' else '-' || t1 end || '>' end as lhs, t0 as b, case when n = 1 then '' when left_ = 2 then t1 else 'S|<' || t1 || '-' || t2 || '>' end as c from k where (left_ >= 2 or n = 1) and n <= 25) join lp using (lhs, b, c) group by all")
+def cky_logprob(spark: SparkSession, d: str) -> DataFrame:
+    """Log-probabilities of the best parses of sentences of up to 25 words over their tags. The grammar's rules fix where a tree splits, so
+    its best parse is the tree itself."""
+    tags = F.transform("words", lambda w: F.when(F.length(w) <= 3, "DT").otherwise("NN"))
+    s = _all(spark, d).where(F.size("words") <= passage.LONGEST).select("doc_id", "sent_no", tags.alias("tags"))
+    return passage.parsed(dealt(s), _grammar(spark, d)).select("doc_id", "sent_no", F.round("pcfg_logprob", 6).alias("logprob"))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    t = docs(spark, d).where("lang = 'en' and text is not null").select("doc_id", T.tokenize(F.col("text")).alias("tokens")).where("size(tokens) > 0")
+    return t.select("doc_id", "tokens", F.transform("tokens", _stand_in).alias("tags"), F.lit(0).alias("merges"), F.lit(0).alias("corrections"))
+
+
+def _stand_in(w):
+    return F.when(~w.rlike("[A-Za-z]"), F.when(w.rlike("[0-9]"), "CD").otherwise(".")).when(F.length(w) <= 3, "DT").otherwise("NN")
+
+
+@query(rf"""with {S}, {UNI}, t as (select doc_id, regexp_extract_all(text, '{TOKEN_SQL}') as t from documents where lang = 'en' and text is not null), e as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
+f as (select *, 1 + coalesce(sum(case when x in ('.', '!', '?') then 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as sentence_index from e),
+sn as (select doc_id, sentence_index, list(x order by i) as tokens from f group by all), sw as (select doc_id, sentence_index, list_filter(list_transform(tokens, lambda w: lower(w)), lambda w: regexp_full_match(w, '[\p{{L}}\p{{N}}_]+') and regexp_matches(w, '\p{{L}}')) as words from sn),
+{ppl_sql(3, "sw", "doc_id, sentence_index", "se", 0.001, "tri")}, {ppl_sql(2, "sw", "doc_id, sentence_index", "se", 0.01, "bi")}
+select doc_id, cast(sentence_index as bigint) as sentence_index, round(tri, 1) as trigram_perplexity, round(bi, 1) as bigram_perplexity from tri join bi using (doc_id, sentence_index)""")
+def passage_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Both perplexities of the sentences of each document."""
+    at = ["doc_id", "sentence_index"]
+    p = passage.scores(passage.split_sentences(_passages(spark, d), ["doc_id"]), at, sents(spark, d))
+    return p.select(*at, F.round("trigram_perplexity", 1).alias("trigram_perplexity"), F.round("bigram_perplexity", 1).alias("bigram_perplexity"))
 
 
 @query()
 def passage_report(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of documents with both perplexities, the decision rule and the surface check. No grammar is induced, as no trees are at
-    hand: no sentence counts as parsed, and the trigram model decides."""
-    t = docs(spark, d).where("lang = 'en' and text is not null").select("doc_id", F.posexplode(F.split("text", ngrams.SENTENCE)).alias("sent_no", "s"))
-    t = t.select("doc_id", "sent_no", T.tokenize(F.col("s")).alias("tokens")).where("size(tokens) > 0")
-    words = F.filter(F.transform("tokens", lambda w: F.lower(w)), lambda w: T.is_word(w))
-    s = t.select("doc_id", "sent_no", words.alias("words"))
-    train = _train(spark, d)
-    tri = ngrams.perplexity(ngrams.fit(train, 3, 0.001), s).select("doc_id", "sent_no", F.col("perplexity").alias("tri"))
-    bi = ngrams.perplexity(ngrams.fit(train, 2, 0.01), s).select("doc_id", "sent_no", F.col("perplexity").alias("bi"))
-    r = t.join(tri, ["doc_id", "sent_no"]).join(bi, ["doc_id", "sent_no"]).withColumn("issues", T.surface_issues(F.col("tokens")))
-    r = r.withColumn("rule", T.decision_rule(F.lit(False), F.col("tri"), F.col("bi")))
-    bad = F.col("issues").isNotNull() & (F.col("rule.verdict") == "Grammatical")
-    return r.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), T.detokenize(F.col("tokens")).alias("text"), F.round("tri", 2).alias("trigram_perplexity"), F.round("bi", 2).alias("bigram_perplexity"),
-        F.when(bad, "Ungrammatical").otherwise(F.col("rule.verdict")).alias("verdict"), F.when(bad, "Surface Check").otherwise(F.col("rule.method")).alias("method"), F.coalesce("issues", F.lit("-")).alias("issues"))
+    """Documents by sentence: parse under the stand-in treebank's grammar, both perplexities, the decision rule and the surface check."""
+    return passage.analyze(_passages(spark, d), ["doc_id"], sents(spark, d), _grammar(spark, d))
 
 
 @query()
-def sliding_window_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    """Perplexity of the last ten tokens of a conversation, after every fifth."""
-    t = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("p", "w"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "p")
-    t = t.withColumn("at", F.row_number().over(w)).withColumn("words", F.collect_list("w").over(w.rowsBetween(-9, 0))).where("at % 5 = 0")
-    s = t.select("conv_id", "at", "words")
-    return ngrams.perplexity(ngrams.fit(_train(spark, d), 3), s).select("conv_id", "at", F.round("perplexity", 2).alias("perplexity"))
+def session_report(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations typed into the editor and then analysed: its merges and corrections are shared out among the sentences."""
+    s = editor_sessions(spark, d).select("session", "tokens", F.transform("tokens", _stand_in).alias("tags"), "merges", "corrections")
+    return passage.analyze(s, ["session"], sents(spark, d), _grammar(spark, d))
+
+
+@query()
+def corrector_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Share of corrupted held-out words that the corrector restores, by method and kind of error (see evaluate.corrector)."""
+    return evaluate.corrector(_held_out(spark, d), ngrams.fit(_train(spark, d), 2))
+
+
+@query()
+def misspelt_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand misspellings of training words of four letters or more, with what both methods make of them."""
+    uni = ngrams.fit(_train(spark, d), 2).unigrams.where(T.is_ascii_word(F.col("w")))
+    return evaluate.benchmark_batch(uni, 1000)
+
+
+@query(f"with {S}, q as (select * from tok) select word, tag, cast(count(*) as bigint) as n from (select word, case when len(word) <= 3 then 'DET-Masc-Sg' else 'NOUN-Fem-Pl' end as tag, doc_id, sent_no, count(*) over (partition by doc_id, sent_no) as k from q) where k >= 2 group by all")
+def conllu_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' sentences written as CoNLL-U text and read back by the scan: words by tag with morphology. Sentences of one word go."""
+    n = F.size("words")
+    feats = lambda w: F.when(F.length(w) <= 3, "DET\t_\tGender=Masc|Number=Sing").otherwise("NOUN\t_\tGender=Fem|Number=Plur")
+    rows = F.transform("words", lambda w, i: F.concat_ws("\t", (i + 1).cast("string"), w, F.lit("_"), feats(w), F.when(i + 1 < n, i + 2).otherwise(0).cast("string"), F.lit("dep"), F.lit("_"), F.lit("_")))
+    text = F.concat(F.array(F.concat(F.lit("# sent_id = "), F.col("sent_no").cast("string"))), rows, F.array(F.lit("")))
+    per = _all(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_no", text.alias("x")))).alias("s"))
+    lines = per.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.flatten("s.x")).alias("line_no", "line"))
+    read = corpora.tagged_sentences(corpora.conllu_tokens(lines, exact=False), ["file", "sent_id"], "id", morphology=True)
+    return read.select(F.explode(F.arrays_zip("words", "tags")).alias("z")).groupBy(F.col("z.words").alias("word"), F.col("z.tags").alias("tag")).agg(F.count("*").alias("n"))

@@ -47,10 +47,13 @@ def tokenize(text: Column) -> Column:
 
 
 def detokenize(tokens: Column) -> Column:
-    """Joins tokens: no space before closing marks, none after a text that ends in an opening one."""
-    close, open_ = F.array(*[F.lit(c) for c in ".,!?;:)]}'\""]), F.array(*[F.lit(c) for c in "([{\""])
-    step = lambda acc, t: F.when((acc == "") | F.array_contains(close, t) | F.array_contains(open_, F.right(acc, F.lit(1))), F.concat(acc, t)).otherwise(F.concat(acc, F.lit(" "), t))
-    return F.aggregate(tokens, F.lit(""), step)
+    """Joins tokens: no space before closing marks, none after a token that ends in an opening one. Each token takes its separator from
+    the one before it, so the work is linear in the text."""
+    close, open_ = list(".,!?;:)]}'\""), list("([{\"")
+    glued = lambda t, before: before.isNull() | t.isin(close) | F.right(before, F.lit(1)).isin(open_)
+    before = F.concat(F.array(F.lit(None).cast("string")), tokens)
+    parts = F.zip_with(tokens, F.slice(before, F.lit(1), F.greatest(F.size(tokens), F.lit(0))), lambda t, b: F.when(glued(t, b), t).otherwise(F.concat(F.lit(" "), t)))
+    return F.array_join(parts, "")
 
 
 def match_case(source: Column, word: Column) -> Column:
@@ -106,15 +109,17 @@ def usable_word(w: Column) -> Column:
 
 
 def surface_issues(tokens: Column) -> Column:
-    """Repeated function words, then tripled words, joined by '; ' (null where there are none)."""
-    n, words = F.greatest(F.size(tokens), F.lit(1)), F.array(*[F.lit(w) for w in FUNCTION_WORDS])
-    near = F.zip_with(F.zip_with(tokens, F.slice(tokens, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(tokens, F.lit(3), n), lambda x, c: F.struct(x["a"].alias("a"), x["b"].alias("b"), c.alias("c")))
-    same = lambda x, y: F.lower(x) == F.lower(y)
-    pairs = F.filter(near, lambda x: same(x["a"], x["b"]) & F.array_contains(words, F.lower(x["a"])))
-    triples = F.filter(near, lambda x: same(x["a"], x["b"]) & same(x["a"], x["c"]))
+    """Repeated function words, then tripled words, joined by '; ' (null where there are none). Places where a word comes twice are found
+    in one pass; only these are looked at again. ``tokens`` should be a column, not an expression."""
+    words = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
+    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
+    twice = F.zip_with(tokens, rest, lambda a, b: (a == b) | (F.lower(a) == F.lower(b)))
+    at = F.filter(F.transform(twice, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    pairs = F.filter(at, lambda i: F.array_contains(words, F.lower(F.get(tokens, i))))
+    thrice = F.filter(at, lambda i: F.lower(F.get(tokens, i)) == F.lower(F.get(tokens, i + 2)))
     said = F.concat(
-        F.transform(pairs, lambda x: F.concat(F.lit("repeated function word '"), x["a"], F.lit(" "), x["b"], F.lit("'"))),
-        F.transform(triples, lambda x: F.concat(F.lit("token '"), x["a"], F.lit("' repeated three times"))),
+        F.transform(pairs, lambda i: F.concat(F.lit("repeated function word '"), F.get(tokens, i), F.lit(" "), F.get(tokens, i + 1), F.lit("'"))),
+        F.transform(thrice, lambda i: F.concat(F.lit("token '"), F.get(tokens, i), F.lit("' repeated three times"))),
     )
     return F.when(F.size(said) > 0, F.array_join(said, "; "))
 
@@ -127,6 +132,11 @@ def decision_rule(parseable: Column, tri: Column, bi: Column, low: float = 350,
     )
 
 
+def share_out(total: Column, part: Column, whole: Column) -> Column:
+    """The share of ``total`` that falls to ``part`` of ``whole``, rounded half to even, never under 0."""
+    return F.greatest(F.lit(0), F.bround(total * (part / whole)).cast("long"))
+
+
 def highlighted(text: Column, changed: Column) -> Column:
     return detokenize(F.transform(tokenize(text), lambda t, i: F.when(F.array_contains(changed, i), F.concat(F.lit("**"), t, F.lit("**"))).otherwise(t)))
 

@@ -32,19 +32,54 @@ def training_rows(trees: DataFrame) -> DataFrame:
     return per.select("t").mapInPandas(run, ", ".join(f"{c} string" for c in (*FEATURES, "transition")))
 
 
-def train(rows: DataFrame, iterations: int = 100) -> dict[tuple, str]:
-    """Transition for each tuple of features met, for D.parse; equal rows are grouped and weighted, so the fit is over distinct rows."""
+def parse(trees: DataFrame, choose) -> DataFrame:
+    """(sent_id, id, pos, ...) -> (sent_id, head, dep, label): arcs of the sentences by the broadcast classifier. A sentence where it
+    chooses a move that is not allowed has no arcs."""
+    per = trees.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "pos"))).alias("t"))
+    kind = trees.schema["sent_id"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for sent, tokens in zip(pdf["sent_id"], pdf["t"], strict=True):
+                try:
+                    rows += [(sent, *arc) for arc in D.parse({int(x["id"]): x["pos"] for x in tokens}, choose.value)]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["sent_id", "head", "dep", "label"])
+
+    return per.mapInPandas(run, f"sent_id {kind}, head int, dep int, label string")
+
+
+class Chooser:
+    """The fitted classifier as a function of features, for D.parse: a value not met in training adds nothing."""
+
+    def __init__(self, labels: list[str], bias, weights: list[dict]):
+        self.labels, self.bias, self.weights = labels, bias, weights
+
+    def __call__(self, features: tuple) -> str:
+        total = self.bias + sum((w[v] for w, v in zip(self.weights, features, strict=True) if v in w), start=0 * self.bias)
+        return self.labels[int(total.argmax())]
+
+
+def train(rows: DataFrame, iterations: int = 100) -> Chooser:
+    """The transition chosen for features; equal rows are grouped and weighted, so the fit is over distinct rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
     data = rows.where("transition is not null").groupBy(*FEATURES, "transition").agg(F.count("*").cast("double").alias("weight"))
     label = StringIndexer(inputCol="transition", outputCol="label", stringOrderType="alphabetAsc")
-    index = StringIndexer(inputCols=list(FEATURES), outputCols=[f"{c}_i" for c in FEATURES], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES], handleInvalid="keep")
+    index = StringIndexer(inputCols=list(FEATURES), outputCols=[f"{c}_i" for c in FEATURES])
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES], dropLast=False)
     join = VectorAssembler(inputCols=[f"{c}_v" for c in FEATURES], outputCol="x")
     fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", maxIter=iterations, regParam=1e-4)
     model = Pipeline(stages=[label, index, hot, join, fit]).fit(data)
-    names = IndexToString(inputCol="prediction", outputCol="move", labels=model.stages[0].labels)
-    scored = names.transform(model.transform(data.dropDuplicates(list(FEATURES))))
-    return {tuple(r[:4]): r.move for r in scored.select(*FEATURES, "move").collect()}  # at most (tags + 2)^4 tuples
+    names, values, last = list(model.stages[0].labels), model.stages[1].labelsArray, model.stages[-1]
+    matrix, at, weights = last.coefficientMatrix.toArray(), 0, []
+    for own in values:
+        weights.append({v: matrix[:, at + i].copy() for i, v in enumerate(own)})
+        at += len(own)
+    return Chooser(names, last.interceptVector.toArray(), weights)
