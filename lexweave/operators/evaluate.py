@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,9 @@ def corrector(sents: DataFrame, model, seed: int = 11, margin: float = 0.75) ->
     """(kind, method, examples, n_right, accuracy) of the corrections of ``error_examples``; neighbours are as given."""
     from . import spell
 
+    model = replace(model, table=model.table.persist(), unigrams=model.unigrams.persist())  # read by every step below
     uni = model.unigrams.where(T.is_ascii_word(F.col("w")))
-    e = error_examples(sents, uni.select(F.col("w").alias("word")), seed)
+    e = error_examples(sents, uni.select(F.col("w").alias("word")), seed).persist()  # four corrections read it
     out = None
     for method in ("edit", "symdelete"):
         odd = e.where("kind = 'non-word'")
@@ -166,10 +169,14 @@ def benchmark_batch(unigrams: DataFrame, size: int, seed: int = 19) -> DataFrame
     methods; ValueError if there are fewer."""
     from . import spell
 
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), "word")), F.col("word")]
     words = unigrams.where(F.length("w") >= 4).select(F.col("w").alias("word"))
-    odd = spell.corrupt_nonword(words, unigrams.select(F.col("w").alias("word")), seed).where("word <> observed")
-    odd = odd.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "word")), "word").limit(size)
-    if odd.count() < size:
+    for tries in (2, 50):  # words without a misspelling are few
+        odd = spell.corrupt_nonword(words.orderBy(*order).limit(tries * size), unigrams.select(F.col("w").alias("word")), seed)
+        odd = odd.where("word <> observed").orderBy(*order).limit(size).persist()
+        if odd.count() == size:
+            break
+    else:
         raise ValueError(f"fewer than {size} misspellings")
     for method, name in (("edit", "method_a"), ("symdelete", "method_b")):
         fixed = spell.correct_nonwords(odd.select(F.col("observed").alias("word")), unigrams, method)

@@ -53,7 +53,19 @@ def save_model(tables: dict[str, DataFrame], root: str, key: str) -> None:
 
 
 def load_model(spark: SparkSession, names: list[str], root: str, key: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{root}/{key}/{n}") for n in names}
+    """The tables saved under the key, which is the fingerprint of what they were made from; FileNotFoundError if there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return {n: spark.read.parquet(f"{root}/{key}/{n}") for n in names}
+    except AnalysisException as error:
+        raise FileNotFoundError(f"{root}/{key}") from error
+
+
+def markdown(rows: list[dict]) -> str:
+    """A Markdown table of a report's few rows."""
+    line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|") for c in cells) + " |\n"
+    return line(rows[0]) + line("---" for _ in rows[0]) + "".join(line(r.values()) for r in rows) if rows else ""
 
 
 def write_report(df: DataFrame, path: str) -> None:
