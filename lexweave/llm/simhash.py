@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, small
+from .common import connected_components, read, small, Workspace
 
 RADIUS, SEED = 3, 42
 #: Bits of the fingerprints of ``similar_groups``, and triples of byte positions that they are listed under.
@@ -161,6 +161,22 @@ def triples(tables: int = TABLES) -> list[tuple[int, int, int]]:
     return out[:tables]
 
 
+def listed(nodes: DataFrame) -> DataFrame:
+    """(node, key): each node under the bytes at every triple of positions; nodes: (node, w0 to w7)."""
+    places = np.array(triples())
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                words = np.stack([part.column(i).to_numpy() for i in range(1, part.num_columns)], 1).astype(">i8")
+                at = words.view(np.uint8).reshape(part.num_rows, WIDE // 8)[:, places].astype(np.int64)
+                keys = np.arange(len(places)) << 48 | at[:, :, 0] | at[:, :, 1] << 8 | at[:, :, 2] << 16
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), len(places))), pa.array(keys.ravel())], ["node", "key"])
+
+    return nodes.mapInArrow(run, "node long, key long")
+
+
 def most_bits(similarity: float) -> int:
     """Bits that texts of the similarity differ in at most (but for one in a thousand): each differs with the angle's share."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -177,9 +193,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     each = work.table(wide_fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = each.groupBy("digest").agg(F.min(id_col).alias("low"), *[F.first(x).alias(x) for x in lanes])
     nodes = work.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    byte = lambda p: f"(shiftrightunsigned(w{p // 8}, {56 - 8 * (p % 8)}) & 255)"
-    keys = [f"shiftleft({i}L, 48) | " + " | ".join(f"shiftleft({byte(p)}, {8 * j})" for j, p in enumerate(t)) for i, t in enumerate(triples())]
-    index = nodes.select("node", F.explode(F.array(*[F.expr(k) for k in keys])).alias("key"))
+    index = listed(nodes.select("node", *lanes))
     lists = work.table(index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "lists")
     members = work.table(index.join(small(lists.select("key", "head")), "key").select("key", "head", "node"), "members")
     apart = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in lanes)
@@ -212,14 +226,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     root = work.table(connected_components(work, links, "cc1"), "roots1")
     rooted = lambda df, col: df.join(root.select(F.col("node").alias(col), F.col("root").alias(f"r{col}")), col, "left").withColumn(f"r{col}", F.coalesce(f"r{col}", col))
     more = work.table(rooted(rooted(found, "a"), "b").where("ra <> rb").select("a", "b"), "apart1")
-    links = links.unionByName(verified(more, "links2"))
-    root = work.table(connected_components(work, links, "cc2"), "roots2")
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, "links2"))
+        root = work.table(connected_components(work, links, "cc2"), "roots2")
     at = work.table(members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "at")
     split = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    rest = at.join(small(work.table(split, "split")), "key", "left_semi").join(nodes.select("node", *lanes), "node")
-    cross = work.table(blocked(work.table(rest, "rest"), near, lanes).distinct(), "cross")
-    links = links.unionByName(verified(cross, "links3"))
-    root = work.table(connected_components(work, links, "cc3"), "roots3")
+    split = work.table(split, "split")
+    if not split.isEmpty():
+        rest = work.table(at.join(small(split), "key", "left_semi").join(nodes.select("node", *lanes), "node"), "rest")
+        cross = work.table(blocked(rest, near, lanes).distinct(), "cross")
+        if not cross.isEmpty():
+            links = links.unionByName(verified(cross, "links3"))
+            root = work.table(connected_components(work, links, "cc3"), "roots3")
     named = nodes.join(root, "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = work.table(named.join(least, "root").select("digest", "component_id"), "named")
@@ -244,4 +262,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(read(spark, sf_dir, "documents"))
