@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, own_columns, quoted, small
+from .common import connected_components, own_columns, quoted, read, small, Workspace
 
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 3, 8, 0.8
 #: Shorter lines (in characters) are not compared. By default all lines but blank ones are.
@@ -137,12 +137,16 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     # with the first head first; with the others only lines that are not yet in its component
     root, found = None, None
     for first in (True, False):
+        if not first and against.where("at > 0").isEmpty():
+            break
         pairs = members.join(small(against.where("at = 0" if first else "at > 0").select("band", "head")), "band").where("line_id <> head")
         pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b")).distinct()
         for x in () if first else ("a", "b"):
             pairs = pairs.join(small(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
         pairs = pairs if first else pairs.where("ra <> rb").select("a", "b")
         more = work.table(similar(pairs, texts, threshold), f"links{int(first)}")
+        if not first and more.isEmpty():
+            break
         found = more if first else root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
         root = work.table(connected_components(work, found, f"cc{int(first)}_"), f"roots{int(first)}")
 
@@ -152,10 +156,9 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     placed = work.table(placed, "placed")
     apart = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band"), "apart")
     left = work.table(placed.join(small(apart), "band", "left_semi").select("line_id", "root").distinct(), "left")
-    more = work.table(similar(sharing(work, left, texts, threshold).distinct(), texts, threshold), "links_left")
+    more = left if left.isEmpty() else work.table(similar(sharing(work, left, texts, threshold).distinct(), texts, threshold), "links_left")
     if not more.isEmpty():
-        root = connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc_left")
-    root = work.table(root, "roots")
+        root = work.table(connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc_left"), "roots")
 
     # each component's first place; lines without a component are their own
     first = at.groupBy("line_id").agg(F.min(F.struct("_doc", "_key", "_no")).alias("first"), F.count("*").alias("n"))
@@ -190,5 +193,5 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, and the digest of the text that is left."""
-    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
