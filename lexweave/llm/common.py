@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: A side is broadcast only if it has at most so many rows; its columns are fixed-width, 32 bytes a row or fewer.
 BROADCAST_ROWS = 1_000_000
 
@@ -23,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, dealt over the cores if it is stored as fewer splits than these."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 class Workspace:
     """A fresh folder below the shared one for the written tables of one call.
 

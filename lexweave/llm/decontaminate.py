@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace, read
+
 WINDOW = 10
 STRETCH = 1024  # words that one cursor covers
-#: Patterns of one block of tables; more of them are searched block by block, so tables keep a bound of memory.
+#: About so many patterns are searched at once; more are searched block by block, so tables keep a bound of memory.
 BLOCK_PATTERNS = 200_000
 BATCH_CHARS = 1_000_000
 
@@ -157,7 +159,7 @@ def search(texts: list[str], names: list[str], blocks: list, powers: Powers) ->
     cover = np.zeros(len(text.hash) + 1, np.int32)
     items: list[set[int]] = [set() for _ in texts]
     for block in blocks:
-        for table in getattr(block, "value", block):
+        for table in block:
             for first, found in table.search(text):
                 cover[first] += 1
                 cover[first + table.m] -= 1
@@ -166,30 +168,96 @@ def search(texts: list[str], names: list[str], blocks: list, powers: Powers) ->
     return [(int(n), int(h), sorted(names[k] for k in s)) for n, h, s in zip(text.n_words, hit, items, strict=True)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def blocks_of(items: DataFrame, window: int, block: int):
+    """The items (id, text as strings) in lists of about ``block`` windows, brought to the driver one list at a time."""
+    part, n = [], 0
+    for row in items.toLocalIterator():
+        part.append((row[0], row[1]))
+        n += max(1, len(words(row[1])) - window + 1)
+        if n >= block:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def occurrences(docs: DataFrame, sent, id_col: str) -> DataFrame:
+    """(id, n_words, first, size, item) of each document's occurrences of the broadcast patterns (first word, number of words, item's
+    name), or one row with nulls for a document without any; docs: (id, text)."""
+    key = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        powers = Powers()
+        names, blocks = sent.value
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            lo, chars = 0, 0
+            for i, t in enumerate(texts):
+                chars += len(t)
+                if chars > BATCH_CHARS or i == len(texts) - 1:
+                    text, rows = Text(texts[lo : i + 1], powers), []
+                    for table in (t for block in blocks for t in block):
+                        for first, items in table.search(text):
+                            d = int(text.doc[first])
+                            at = first - int(np.searchsorted(text.doc, d))
+                            rows += [(lo + d, at, table.m, names[k]) for k in items]
+                    rows += [(lo + d, None, None, None) for d in set(range(i + 1 - lo)) - {r[0] - lo for r in rows}]
+                    place, first, size, item = zip(*rows, strict=True)
+                    n = [int(text.n_words[p - lo]) for p in place]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(item, pa.string())], [id_col, "n_words", "first", "size", "item"])
+                    lo, chars = i + 1, 0
+
+    return docs.mapInArrow(run, f"`{id_col}` {key}, n_words long, first long, size long, item string")
+
+
+def in_blocks(docs: DataFrame, lists, window: int, id_col: str, text_col: str) -> DataFrame:
+    """``contamination`` for more patterns than one block: block by block, each block's tables are sent, its occurrences written, and the
+    tables given up before the next; then occurrences are gathered by text."""
+    work = Workspace(docs.sparkSession, "benchmark")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("_k"), text.alias("_text"))
+    texts = keyed.select("_k", "_text").groupBy("_k").agg(F.first("_text").alias("_text"))
+    found = None
+    for i, items in enumerate(lists):
+        sent = docs.sparkSession.sparkContext.broadcast(tables(items, window))
+        part = work.table(occurrences(texts, sent, "_k"), f"block{i}")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    hit = found.where("first is not null").select("_k", F.explode(F.expr("sequence(first, first + size - 1)")).alias("w")).distinct().groupBy("_k").agg(F.count("*").alias("n_hit"))
+    item = found.where("item is not null").groupBy("_k").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    n = found.groupBy("_k").agg(F.max("n_words").alias("n_words"))
+    out = keyed.select(id_col, "_k").join(n, "_k").join(hit, "_k", "left").join(item, "_k", "left")
+    joined, n_hit = F.coalesce(F.array_join("items", ","), F.lit("")), F.coalesce("n_hit", F.lit(0))
+    return out.select(id_col, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), joined.alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK_PATTERNS) -> DataFrame:
     """Every document's share of benchmark words: id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Words are lower-cased (A-Z) runs of digits, letters a-z and characters over U+007F. Null texts have no words. An item of
     fewer words than the window is one window, an item without words none; items with the same id are one item, items without an
     id are left out. Documents map one to one (repeated ids stay); other columns are ignored; an empty benchmark hits nothing.
-    The benchmark is the stated set of patterns: its windows go to the tasks in blocks of at most ``BLOCK_PATTERNS``.
+    The benchmark is the stated set of patterns: about ``block`` of them are in the driver and in the tasks at a time.
     """
     spark = docs.sparkSession
-    names, blocks = tables([(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).collect()], window)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
-    sent_names = spark.sparkContext.broadcast(names)
+    lists = blocks_of(benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")), window, block)
+    first, second = next(lists, []), next(lists, None)
+    if second is not None:
+        return in_blocks(docs, (x for part in ([first, second], lists) for x in part), window, id_col, text_col)
+    sent = spark.sparkContext.broadcast(tables(first, window))
     key = docs.schema[id_col].dataType.simpleString()
     columns = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
 
     def run(batches):
         powers = Powers()
+        names, blocks = sent.value
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found, lo, chars = [], 0, 0
             for i, t in enumerate(texts):
                 chars += len(t)
                 if chars > BATCH_CHARS or i == len(texts) - 1:
-                    found += search(texts[lo : i + 1], sent_names.value, sent, powers)
+                    found += search(texts[lo : i + 1], names, blocks, powers)
                     lo, chars = i + 1, 0
             joined = [",".join(f[2]) for f in found]
             cols = [batch.column(0), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)), pa.array([len(f[2]) for f in found], pa.int64())]
@@ -202,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, benchmark = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return contamination(docs, benchmark).drop("items")
 
 

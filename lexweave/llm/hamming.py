@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small
+from .common import read, small, Workspace
 
 K, BITS = 10, 64
 
@@ -92,7 +92,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, m: int | None = Non
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with an id divisible by 50, against all vectors (itself among them)."""
-    codes = sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    codes = sign_codes(read(spark, sf_dir, "embeddings"))
     codes = Workspace(spark, "codes").table(codes, "codes")
     return search(codes, codes.where("id % 50 = 0"))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import read
+
 #: Sample bound: at most so many labelled documents a language, those with the smallest hashes of their id, in that order and each
 #: whole, until they fill the dictionary (the last one is cut where it is full).
 SAMPLE_DOCS = 400
@@ -122,6 +124,6 @@ def held_out(id_col: str = "doc_id", n: int = 4, rest: int = 2):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     found = identify(docs, docs.where(~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, own_columns, small
+from .common import own_columns, read, small, Workspace
 
 SEED, EPOCHS, BUCKETS = 17, 4, 4096
 LEVELS = ("domain", "lang", "source")
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, share: int = SHARE, weights: dict | None = None, domain
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(read(spark, sf_dir, "documents"))
 
 
 def oracle(docs: str = "documents", columns: str = "doc_id, domain, lang, source, n_tokens, epochs, part_tokens", ctes: str = "") -> str:

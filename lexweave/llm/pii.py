@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import read
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
@@ -387,4 +389,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_pii(read(spark, sf_dir, "documents"))

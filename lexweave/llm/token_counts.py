@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import read, Workspace
 
 MEMO = 1_000_000  # chunks with a remembered count in one worker
 _ENCODERS: dict[str, Encoder] = {}
@@ -147,5 +147,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     work = Workspace(spark, "token-counts")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return count_tokens(spark, docs, public_tokenizers.path("word_bpe_49k.json"), f"{work.path}/cache")

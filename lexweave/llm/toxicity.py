@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import read, Workspace
 from .language_id import held_out
 
 #: The lexicon is learned from at most so many labelled documents, those with the smallest hashes of their ids.
@@ -186,5 +186,5 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
     return score(docs, learn(docs, labels)).select("doc_id", held_out(n=5, rest=0).alias("held_out"), "score", "predicted")

@@ -281,6 +281,16 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(edge(spark, False), items).count() == 0
 
 
+def test_decontamination_in_blocks(spark):
+    """Patterns searched block by block give what one block gives."""
+    items = spark.read.parquet(f"{D}/benchmark.parquet")
+    d = docs(spark).select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text"))
+    extra = spark.createDataFrame([(900, PROSE), (901, "plain words"), (None, "of"), (900, "zzz")], "item_id long, text string")
+    items = items.unionByName(extra)
+    rows = lambda block: sorted(map(tuple, decontaminate.contamination(d, items, block=block).collect()), key=str)
+    assert rows(500) == rows(10**6) and any(r[5] for r in rows(10**6))
+
+
 def fuzzy(texts, threshold=0.8):
     """Brute force of line deduplication: kept texts by document, in order of id."""
     def cut(line):
