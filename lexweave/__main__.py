@@ -24,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     if not a.query and not a.correct:
         p.error("a query or --correct is wanted")
+    own = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName("lexweave").getOrCreate()
     if a.query:
         found = catalog.QUERIES[a.query](spark, a.data)
@@ -42,7 +43,8 @@ def main(args: list[str] | None = None) -> int:
             new = models.correct(words)
             marked = [f"**{y}**" if x != y else y for x, y in zip(words, new, strict=True)]
             print(f"{D.detokenize(marked)}  ({1000 * (time.time() - began):.1f} ms)", flush=True)
-    spark.stop()
+    if own:
+        spark.stop()
     return 0
 
 

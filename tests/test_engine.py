@@ -278,6 +278,20 @@ def test_sources(spark, tmp_path):
     assert value(spark, T.highlighted(F.lit("a bad word."), F.array(F.lit(1)))) == "a **bad** word."
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from lexweave.__main__ import main
+
+    assert main(["vocab_stats", "--data", DIR, "--markdown", "--json", f"{tmp_path}/out"]) == 0
+    assert capsys.readouterr().out.startswith("| v | total |\n| --- | --- |\n") and spark.read.json(f"{tmp_path}/out").count() == 1
+    monkeypatch.setattr("sys.stdin", io.StringIO("The the, of.\nexit\nmore\n"))
+    assert main(["--data", DIR, "--correct"]) == 0
+    assert capsys.readouterr().out.count(" ms)") == 1
+    with pytest.raises(SystemExit):
+        main(["--data", DIR])
+
+
 def test_typed_stream_with_merges(spark, tmp_path):
     sent = spark.sparkContext.broadcast(models())
     rows = [(1, "i would like to see the world a good sentnce".split())]
