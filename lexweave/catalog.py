@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import deps, evaluate, ngrams, passage, spell
 from .plans import decoders as D
 from .sources import corpora
-from .sources.tables import spread
+from .sources.tables import held, spread
 from .streaming import editor
 
 FLAGSHIP = "trigram_document_perplexity"
@@ -225,7 +225,7 @@ l as (select *, lead(x) over w as y, lead(x, 2) over w as z from e window w as (
 m as (select doc_id, 1 as k, i, 'repeated function word ''' || x || ' ' || y || '''' as s from l where lower(x) = lower(y) and lower(x) in ({FW}) union all select doc_id, 2, i, 'token ''' || x || ''' repeated three times' from l where lower(x) = lower(y) and lower(x) = lower(z))
 select doc_id, md5(string_agg(s, '; ' order by k, i)) as issues from m group by doc_id""")
 def surface_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d).select("doc_id", F.split("text", r"\s+").alias("t")).select("doc_id", T.surface_issues(F.col("t")).alias("issues"))
+    t = docs(spark, d).select("doc_id", held(F.split("text", r"\s+")).alias("t")).select("doc_id", T.surface_issues(F.col("t")).alias("issues"))
     return t.where("issues is not null").select("doc_id", F.md5("issues").alias("issues"))
 
 
@@ -443,7 +443,7 @@ def corruption_detection(spark: SparkSession, d: str) -> DataFrame:
     dev = dev.select(F.concat_ws("-", "doc_id", "sent_no").alias("id"), "words")
     rows = evaluate.corruptions(dev).unionByName(dev.select("id", F.lit("clean").alias("kind"), "words"))
     p = ngrams.perplexity(ngrams.fit(train, 3), rows).select("id", "kind", F.round("perplexity", 6).alias("tri"))
-    p = p.join(ngrams.perplexity(ngrams.fit(train, 2), rows).select("id", "kind", F.round("perplexity", 6).alias("bi")), ["id", "kind"])
+    p = p.join(ngrams.perplexity(ngrams.fit(train, 2), rows).select("id", "kind", F.round("perplexity", 6).alias("bi")), ["id", "kind"]).persist()  # read for the thresholds and for the flags
     cut = p.where("kind = 'clean'").agg(F.percentile("tri", 0.5).alias("low"), F.percentile("tri", 0.8).alias("high"), F.percentile("bi", 0.8).alias("big"))
     flag = ~((F.col("tri") < F.col("low")) | ((F.col("tri") >= F.col("high")) & (F.col("bi") < F.col("big"))))
     return p.join(F.broadcast(cut)).groupBy("kind").agg(F.count("*").alias("total"), F.sum(flag.cast("long")).alias("flagged"))  # one row

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted to have at most so many rows of a few short columns.
 BROADCAST_ROWS = 500_000
@@ -18,3 +19,9 @@ def spread(df: DataFrame) -> DataFrame:
 def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join). It is counted for that."""
     return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df
+
+
+def held(value: Column) -> Column:
+    """A value as one row of a generator, for a select: the optimiser does not carry what made it into later lambdas, where it would be
+    worked out anew for each element."""
+    return F.explode(F.array(value))
