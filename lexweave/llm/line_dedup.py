@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, own_columns, quoted, read, small, Workspace
 
 WIDTH, ROWS, BANDS, SIMILARITY = 9, 3, 8, 0.8
+#: One of so many lines tells which shingles are common.
+SAMPLE = 16
 #: Shorter lines (in characters) are not compared. By default all lines but blank ones are.
 MIN_CHARS = 1
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
@@ -93,14 +95,17 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of the lines ``left`` (line_id, root) with other roots that can reach the similarity, none that does missed.
 
-    Such a pair shares one of the rarest shingles of each: of n shingles, in order of frequency, the first n - ceil(threshold n) + 1.
-    Where the first shared one stands in both bounds how many can be shared, which drops most pairs before they are made."""
-    each = left.join(texts, "line_id").select("line_id", "root", characters(F.col("line")).alias("chars"))
-    each = work.table(each.select("line_id", "root", shingle_set(F.col("chars")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("shingle")), "rest")
-    rare = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    by = Window.partitionBy("line_id").orderBy("df", "shingle")
-    ranked = each.join(rare, "shingle").withColumn("at", F.row_number().over(by) - 1)
-    head = ranked.where(F.expr(f"at <= n - cast(ceil({threshold}D * n - 1e-9D) as int) and df > 1"))
+    In any one order of all shingles such a pair shares one of the first n - ceil(threshold n) + 1 of n shingles of each. The order is by
+    how many of every ``SAMPLE``-th line hold a shingle, then by its hash: any order is exact, and this one puts the common ones last
+    without counting all. Where the first shared one stands in both bounds how many can be shared, which drops most pairs before
+    they are made. A line's shingles are ranked where they are cut, so only the first ones are moved."""
+    each = left.join(texts, "line_id").repartition("line_id").select("line_id", "root", characters(F.col("line")).alias("chars"))
+    each = each.select("line_id", "root", shingle_set(F.col("chars")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("shingle"))
+    common = each.where(F.pmod(F.xxhash64("line_id"), F.lit(SAMPLE)) == 0).groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    common = work.table(common, "common")
+    by = Window.partitionBy("line_id").orderBy(F.coalesce("df", F.lit(0)), "shingle")
+    ranked = each.join(small(common), "shingle", "left").withColumn("at", F.row_number().over(by) - 1)
+    head = ranked.where(F.expr(f"at <= n - cast(ceil({threshold}D * n - 1e-9D) as int)"))
     head = work.table(head.select("line_id", "root", "n", "at", F.col("shingle").alias("key")), "heads_left")
     a, b = (head.select("key", F.col("line_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "at"))) for x in "ab")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -123,6 +128,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
 
     heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
+    work.drop("bands")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
     texts = lines(docs, id_col, text_col, min_chars).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
     texts = work.table(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts")
