@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import deps, evaluate, ngrams, passage, spell
 from .plans import decoders as D
 from .sources import corpora
-from .sources.tables import held, spread
+from .sources.tables import dealt, held, spread
 from .streaming import editor
 
 FLAGSHIP = "trigram_document_perplexity"
@@ -339,12 +339,6 @@ def _all(spark: SparkSession, d: str) -> DataFrame:
     return sents(spark, d).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "words")
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt for a decoder: by a number of partitions, which are not put together as small ones are."""
-    n = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
-
-
 @query()
 def beam_segment(spark: SparkSession, d: str) -> DataFrame:
     """Held-out sentences without spaces, split by the beam and by the greedy rule: exact matches."""
