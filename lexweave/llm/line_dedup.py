@@ -5,9 +5,10 @@ script or spaces. A shingle's hash deals it to one of ``BANDS`` classes, and a c
 ``ROWS`` hashes of its shingles: every shingle takes part in one band. Lines that agree on a band are candidates. Were all classes
 as similar as the whole line, 8 bands of 3 rows would miss a pair of similarity 0.8 in 3 of 1000 cases; as they are not, one class
 being more alike where another is less, fewer are missed, and of short lines, whose few different shingles leave most classes
-equal, none (the tests measure this on lines). Every line of a band's bucket is compared with a few of them by the exact Jaccard
-similarity of all their shingles; then lines of a bucket that links have not joined are compared if they share one of their rarest
-shingles, as any similar enough must. Links are closed by distributed union-find, and of each component the first line (by
+equal, none (the tests measure this on lines). Every line of a band's bucket is compared with a few of them; then all lines of a
+bucket that links have not joined are compared with each other, in very large buckets those that share one of their rarest shingles,
+as any similar enough must. A pair whose sketches differ in more bits than such sets can differ in shingles is no link; of the others
+the exact Jaccard similarity of all their shingles decides. Links are closed by distributed union-find, and of each component the first line (by
 document, then place) stays.
 """
 
@@ -26,6 +27,12 @@ MIN_CHARS = 1
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
 #: that meet in many bands are compared with few lines.
 HEADS = 3
+#: Words of 64 bits of a line's sketch.
+WORDS = 32
+#: Sketches are broadcast up to so many lines.
+SKETCHES = 100_000
+#: Lines of larger buckets that links leave apart are not compared by twos but by their rarest shingles.
+WIDE = 2000
 
 
 def characters(line):
@@ -42,9 +49,11 @@ def shingle(chars, place):
     return F.xxhash64(F.substring(chars, place * 4 + 1, F.lit(4 * WIDTH)))
 
 
-def shingle_set(chars):
-    """Distinct shingles of a column of ``characters`` (a column: an expression would be worked out for every place)."""
-    return F.array_distinct(F.transform(places(chars), lambda i: shingle(chars, i)))
+def shingle_set(low):
+    """Distinct shingles of a lower-cased line, as texts. From each of the first WIDTH characters on, a pattern cuts the line in runs side
+    by side: a lambda over all places takes eight times as long."""
+    runs = [F.regexp_extract_all(F.substring(low, F.lit(i + 1), F.length(low)), F.lit(f"(?s).{{{WIDTH}}}"), F.lit(0)) for i in range(WIDTH)]
+    return F.array_distinct(F.when(F.length(low) < WIDTH, F.array(low)).otherwise(F.flatten(F.array(*runs))))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -69,22 +78,49 @@ def constants() -> list[int]:
     return out
 
 
+def hashed(cut: DataFrame) -> DataFrame:
+    """(line_id, x): the hash of the shingle at every place of lines (line_id, chars)."""
+    # outer, as else a filter is made up that works the places out once more; they are never empty
+    return cut.select("line_id", "chars", F.explode_outer(places(F.col("chars"))).alias("place")).select("line_id", shingle(F.col("chars"), F.col("place")).alias("x"))
+
+
 def signatures(cut: DataFrame) -> DataFrame:
     """(line_id, band) of lines (line_id, chars): a line has a band of each class that it has shingles in."""
-    # outer, as else a filter is made up that works the places out once more; they are never empty
-    cut = cut.select("line_id", "chars", F.explode_outer(places(F.col("chars"))).alias("place")).select("line_id", shingle(F.col("chars"), F.col("place")).alias("x"))
-    cut = cut.select("line_id", F.expr(f"cast(pmod(x, {BANDS}) as int)").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
+    cut = hashed(cut).select("line_id", F.expr(f"cast(pmod(x, {BANDS}) as int)").alias("class"), F.shiftrightunsigned("x", 33).alias("h"))
     signed = cut.groupBy("line_id", "class").agg(*[F.expr(f"min(h * {c}L & 2147483647L)").alias(f"m{i}") for i, c in enumerate(constants())])
     return signed.select("line_id", F.xxhash64("class", *[f"m{i}" for i in range(ROWS)]).alias("band"))
 
 
+def sketches(cut: DataFrame) -> DataFrame:
+    """(line_id, n, w0..) of lines (line_id, chars): n counts the shingles, with repeats; of the bits of the words each shingle sets the
+    one that its hash names."""
+    at = hashed(cut).select("line_id", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
+    each = at.groupBy("line_id", "at").agg(F.count("*").alias("n"), F.bit_or("bit").alias("word"))
+    return each.groupBy("line_id").agg(F.sum("n").alias("n"), *[F.expr(f"bit_or(if(at = {i}, word, 0L))").alias(f"w{i}") for i in range(WORDS)])
+
+
+def near(a: str, b: str, threshold: float):
+    """Whether lines can have the similarity, by their sketches in columns with these prefixes. Sets of n and m shingles that do differ by
+    at most (1 - t) / (1 + t) (n + m) shingles, and a bit that one sketch alone has is of a shingle that one set alone has: no pair is lost."""
+    apart = " + ".join(f"bit_count({a}w{i} ^ {b}w{i})" for i in range(WORDS))
+    return F.expr(f"({apart}) <= {(1 - threshold) / (1 + threshold)!r}D * ({a}n + {b}n) + 1e-9D")
+
+
+def sketched(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of line ids that can have the similarity by their sketches."""
+    for x in "ab":
+        side = sketch.select(F.col("line_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sketch.columns[1:]])
+        pairs = pairs.join(small(side, SKETCHES), x)
+    return pairs.where(near("a_", "b_", threshold)).select("a", "b")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, line).
 
     The sets are cut from the lines after the join: they are eight times as large as the lines."""
     left = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", characters(F.col("la")).alias("ca"), characters(F.col("lb")).alias("cb"))
+    both = both.select("a", "b", F.lower("la").alias("ca"), F.lower("lb").alias("cb"))
     both = both.select("a", "b", shingle_set(F.col("ca")).alias("sa"), shingle_set(F.col("cb")).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     # as a generator, which the optimiser does not push down: a filter would work out the sets anew for every place
@@ -92,6 +128,13 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.explode_outer(fits).alias("fits")).where("fits = 1").select("u", "v")
 
 
+def facing(each: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the lines ``each`` (band, line_id, root, sketch) of one bucket with other roots that can have the similarity."""
+    a, b = (each.select(F.col("band").alias(f"{x}_band"), *[F.col(c).alias(f"{x}_{c}") for c in each.columns if c != "band"]) for x in "ab")
+    met = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_", threshold))
+    return met.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b"))
+
+
 def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of the lines ``left`` (line_id, root) with other roots that can reach the similarity, none that does missed.
 
@@ -99,8 +142,9 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
     how many of every ``SAMPLE``-th line hold a shingle, then by its hash: any order is exact, and this one puts the common ones last
     without counting all. Where the first shared one stands in both bounds how many can be shared, which drops most pairs before
     they are made. A line's shingles are ranked where they are cut, so only the first ones are moved."""
-    each = left.join(texts, "line_id").repartition("line_id").select("line_id", "root", characters(F.col("line")).alias("chars"))
-    each = each.select("line_id", "root", shingle_set(F.col("chars")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("shingle"))
+    each = left.join(texts, "line_id").repartition("line_id").select("line_id", "root", F.lower("line").alias("low"))
+    each = each.select("line_id", "root", shingle_set(F.col("low")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("s"))
+    each = each.select("line_id", "root", "n", F.xxhash64("s").alias("shingle"))
     common = each.where(F.pmod(F.xxhash64("line_id"), F.lit(SAMPLE)) == 0).groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     common = work.table(common, "common")
     by = Window.partitionBy("line_id").orderBy(F.coalesce("df", F.lit(0)), "shingle")
@@ -113,7 +157,7 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
     return a.join(b, (a["key"] == b["key"]) & (F.col("root_a") < F.col("root_b")) & fits).select("a", "b")
 
 
-def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, wide: int = WIDE) -> DataFrame:
     """(_doc, _key, gone): numbers of the lines to drop, for documents that lose any."""
     at = work.table(lines(docs, id_col, text_col, min_chars).select("_doc", "_key", "_no", "line_id", other_hash(F.col("line")).alias("other")), "at")
     # different lines under one id, as happens to a few of 10^11, are not compared: they stay
@@ -123,15 +167,15 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     at = whole(at).drop("other")
     distinct = whole(lines(docs, id_col, text_col, min_chars)).groupBy("line_id").agg(F.first("line").alias("line"))
     cut = distinct.select("line_id", characters(F.col("line")).alias("chars"))
-    signed = signatures(cut)
-    entry = work.table(signed, "bands")
+    entry = work.table(signatures(cut), "bands")
 
     heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
-    work.drop("bands")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
+    work.drop("bands")
     texts = lines(docs, id_col, text_col, min_chars).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
     texts = work.table(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts")
+    sketch = work.table(sketches(texts.select("line_id", characters(F.col("line")).alias("chars"))), "sketch")
 
     # every line of a bucket is compared with the bucket's heads: reversible orders give them in one hash aggregation
     masks = [c << 32 for c in constants()[:HEADS]]
@@ -150,7 +194,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
         for x in () if first else ("a", "b"):
             pairs = pairs.join(small(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
         pairs = pairs if first else pairs.where("ra <> rb").select("a", "b")
-        more = work.table(similar(pairs, texts, threshold), f"links{int(first)}")
+        more = work.table(similar(work.table(sketched(pairs, sketch, threshold), f"pairs{int(first)}"), texts, threshold), f"links{int(first)}")
         if not first and more.isEmpty():
             break
         found = more if first else root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
@@ -160,9 +204,15 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     open_bands = work.table(split.where("n - size(heads) > 1").select("band"), "open")
     placed = members.join(small(open_bands), "band", "left_semi").join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
     placed = work.table(placed, "placed")
-    apart = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band"), "apart")
-    left = work.table(placed.join(small(apart), "band", "left_semi").select("line_id", "root").distinct(), "left")
-    more = left if left.isEmpty() else work.table(similar(sharing(work, left, texts, threshold).distinct(), texts, threshold), "links_left")
+    apart = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n"), "apart")
+    each = placed.join(small(apart.where(F.col("n") <= wide).select("band")), "band", "left_semi").join(small(sketch, SKETCHES), "line_id")
+    left = work.table(placed.join(small(apart.where(F.col("n") > wide).select("band")), "band", "left_semi").select("line_id", "root").distinct(), "left")
+    pairs = facing(work.table(each, "facing"), threshold)
+    if not left.isEmpty():
+        pairs = pairs.unionByName(sketched(work.table(sharing(work, left, texts, threshold).distinct(), "shared"), sketch, threshold))
+    more = work.table(similar(work.table(pairs.distinct(), "pairs_left"), texts, threshold), "links_left")
+    for name in ("facing", "sketch"):
+        work.drop(name)
     if not more.isEmpty():
         root = work.table(connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc_left"), "roots")
 

@@ -336,6 +336,37 @@ def test_line_banding_finds_similar_lines(spark):
     assert met >= 0.99 * len(pairs), (met, len(pairs))
 
 
+def test_line_sketches_drop_pairs_but_no_link(spark):
+    """By their sketches alone all pairs of similar lines stay and most of the others go, before any line is cut in shingles."""
+    rng = np.random.default_rng(7)
+    real = [x for r in docs(spark, "/root/testdata/sf0.01").limit(100).collect() for x in (r.text or "").split("\n") if len(x) > 2][:150]
+    edited = lambda x, k: "".join(c if rng.random() > k / len(x) else "%" for c in x)
+    lines = list(dict.fromkeys([*real, *(edited(x, k) for x in real for k in (1, 3, len(x) / 50)), "", "ab", "Ab cd \U0001f600 efg hi"]))
+    cut = lambda t: {t.lower()[i : i + 9] for i in range(max(1, len(t) - 8))}
+    sets = [cut(x) for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").cache()
+    own = {r.line_id: set(r.s) for r in df.select("line_id", line_dedup.shingle_set(line_dedup.F.lower("line")).alias("s")).collect()}
+    assert own == dict(enumerate(sets))
+    sketch = line_dedup.sketches(df.select("line_id", line_dedup.characters(df["line"]).alias("chars"))).cache()
+    pairs = df.select(df["line_id"].alias("a")).crossJoin(df.select(df["line_id"].alias("b"))).where("a < b")
+    met = {(r.a, r.b) for r in line_dedup.sketched(pairs, sketch, 0.8).collect()}
+    true = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert true <= met and len(met) < 3 * len(true), (len(true), len(met))
+    found = line_dedup.similar(spark.createDataFrame(sorted(met), "a long, b long"), df, 0.8)
+    assert {(r.u, r.v) for r in found.collect()} == true
+
+
+def test_line_buckets_of_any_size_find_the_same_links(spark):
+    """Lines compared by twos in their bucket, and by their rarest shingles where buckets are too large for that."""
+    rng = np.random.default_rng(3)
+    base = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 120)) for _ in range(3)]
+    near = [x[:k] + "#" * 10 + x[k + 10 :] for x in base for k in range(0, 110, 7)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*base, *near])], "doc_id long, text string")
+    gone = [sorted(tuple(r) for r in line_dedup.duplicate_lines(Workspace(spark, "wide"), d, wide=w).select("_doc", "gone").collect()) for w in (1, 2000)]
+    kept = fuzzy(dict(enumerate([*base, *near])))
+    assert gone[0] == gone[1] == [(i, [0]) for i, x in kept.items() if not x]
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     words = [f"{a}{b}" for a in ("al", "be", "cor", "dun", "eg", "fin") for b in ("an", "et", "is", "om", "ur", "ex")]
