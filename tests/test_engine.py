@@ -1,7 +1,9 @@
 import math
 import os
+import pickle
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +311,29 @@ def test_sentence_queries_cover_all_sentences(spark):
     n = catalog.sents(spark, DIR).count()
     assert catalog._all(spark, DIR).count() == catalog.merge_injection(spark, DIR).count() == n
     assert catalog._held_out(spark, DIR).where("size(words) > 12").count() > 0
+
+
+def test_decoder_tables_are_numbers(spark, monkeypatch):
+    """Models of more n-grams than words, with the limit at the words: the same scores, tags and splits as models of dicts."""
+    words = [["the", "dog", "runs"], ["the", "cat", "runs", "a", "mile"], ["a", "dog", "and", "a", "cat", "run"], ["the", "dog", "runs", "a", "mile"], ["ä", "the"]]
+    s = spark.createDataFrame([(i, i, w) for i, w in enumerate(words)], "doc_id long, sent_no long, words array<string>")
+    monkeypatch.setattr(catalog, "LOCAL_ROWS", len({w for x in words for w in x}) + 1)
+    lm, plain = catalog.local_lm(s), D.lm_of(words)
+    assert isinstance(lm.tri, D.Counts) and len(lm.tri) > catalog.LOCAL_ROWS and lm.uni == dict(plain.uni) and (lm.v, lm.total) == (plain.v, plain.total)
+    names = [D.START, D.END, "none", *plain.vocabulary]
+    assert all(lm.score(a, b, w) == plain.score(a, b, w) for a in names for b in names for w in names)
+    assert {a: lm.c2.get(a) for a in names} == {a: plain.c2.get(a) for a in names}
+    tag = lambda w: w[-1] if w != "runs" else "V"
+    rows = [(i, k, w, "N" if (w, i) == ("run", 2) else tag(w)) for i, x in enumerate([*words, ["run", "run"]]) for k, w in enumerate(x)]
+    monkeypatch.setattr(catalog, "LOCAL_ROWS", 1000)
+    tagger = catalog.local_tagger(spark.createDataFrame(rows, "sent long, pos int, word string, tag string"))
+    old = D.tagger_of([([r[2] for r in rows if r[0] == i], [r[3] for r in rows if r[0] == i]) for i in range(len(words) + 1)])
+    old.common = tagger.common
+    assert isinstance(tagger.emit, D.Counts) and tagger.names == old.names
+    assert all(tagger.candidates(w) == old.candidates(w) and tagger.emission(w, t) == old.emission(w, t) for w in [*plain.vocabulary, "run", "none"] for t in old.names)
+    assert all(tagger.tag(x) == old.tag(x) for x in [*words, ["none", "run", "a"]])
+    empty = D.Counts(({}, {}), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert D.summed(pickle.loads(pickle.dumps(empty))).get("a", 0) == 0
+    sent = pickle.loads(pickle.dumps((lm, tagger)))
+    assert sent[0].tri.keys.tolist() == lm.tri.keys.tolist() and all(sent[0].score(a, b, w) == plain.score(a, b, w) for a in names for b in names for w in names)
+    assert all(sent[1].tag(x) == old.tag(x) for x in words)
