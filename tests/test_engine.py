@@ -337,3 +337,26 @@ def test_decoder_tables_are_numbers(spark, monkeypatch):
     sent = pickle.loads(pickle.dumps((lm, tagger)))
     assert sent[0].tri.keys.tolist() == lm.tri.keys.tolist() and all(sent[0].score(a, b, w) == plain.score(a, b, w) for a in names for b in names for w in names)
     assert all(sent[1].tag(x) == old.tag(x) for x in words)
+
+
+def test_scores_move_ngrams_once(spark):
+    """A sentence's n-grams are shuffled for their counts and for their sum, no more; unseen words, contexts and empty tables count as 0."""
+    s = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "c"]), (None, ["z", "z"]), (3, [])], "id long, words array<string>")
+    train = spark.createDataFrame([(["a", "b"],), (["a", "b", "a", "b"],), (["c"],)], "words array<string>")
+    for n in (2, 3):
+        p = ngrams.scored(ngrams.fit(train, n), s)
+        plan = p._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" not in plan and plan.count("RepartitionByExpression") == 1
+        grams, context = {}, {}
+        for r in train.collect():
+            w = [T.START] * (n - 1) + r.words + [T.END]
+            for i in range(len(w) - n + 1):
+                grams[tuple(w[i : i + n])] = grams.get(tuple(w[i : i + n]), 0) + 1
+                context[tuple(w[i : i + n - 1])] = context.get(tuple(w[i : i + n - 1]), 0) + 1
+        want = {}
+        for r in s.collect():
+            w = [T.START] * (n - 1) + r.words + [T.END]
+            at = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            want[r.id] = (len(r.words), round(sum(math.log((grams.get(g, 0) + 0.1) / (context.get(g[:-1], 0) + 0.1 * 4)) for g in at), 9))
+        assert {r.id: (r.n_words, round(r.logprob, 9)) for r in p.collect()} == want
+    assert ngrams.scored(ngrams.fit(train.limit(0), 2), s.where("id = 2")).first().n_words == 2
