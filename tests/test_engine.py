@@ -263,6 +263,14 @@ def test_corrector_examples(spark):
     assert len(batch) == 3 and all(r.observed not in vocabulary for r in batch)
 
 
+def test_corrector_returns_a_small_plan(spark):
+    """The four accuracies are worked out one by one: what is returned holds their rows, not their plans."""
+    s = spark.createDataFrame([(i, w) for i, w in enumerate(SPELL)], "id long, words array<string>")
+    out = evaluate.corrector(s, ngrams.fit(s, 2), margin=0.5)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.kind, r.method) for r in out.collect()} == {(k, m) for k in ("non-word", "real-word") for m in ("edit", "symdelete")}
+
+
 def test_sources(spark, tmp_path):
     s = spark.createDataFrame([(d, i, [f"w{d}", f"x{i}"]) for d in range(3) for i in range(12)], "doc_id long, sent_no int, words array<string>")
     taken = corpora.passages(s).groupBy("doc_id").agg(F.count("*").alias("n"), (F.max("sent_no") - F.min("sent_no") + 1).alias("span")).collect()
