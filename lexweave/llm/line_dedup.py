@@ -27,6 +27,9 @@ MIN_CHARS = 1
 #: Lines of each bucket that all its lines are compared with. They are the first in orders that all bands share, so that lines
 #: that meet in many bands are compared with few lines.
 HEADS = 3
+#: In buckets of more lines than CROWD, all lines not yet joined with them are compared with so many lines more: of large groups of
+#: similar lines that leaves few apart, whose pairs would grow with the square of the group.
+CROWD, MORE = 64, 12
 #: Words of 64 bits of a line's sketch.
 WORDS = 32
 #: Sketches are broadcast up to so many lines.
@@ -69,10 +72,10 @@ def other_hash(line):
     return F.xxhash64(F.lit(1), line)
 
 
-def constants() -> list[int]:
+def constants(n: int = ROWS) -> list[int]:
     """One odd factor below 2^31 for each row of a band: times a factor, modulo 2^31, permutes the 31-bit hashes of shingles."""
     out, x = [], 0x243F6A8885A308D3
-    for _ in range(ROWS):
+    for _ in range(n):
         x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
         out.append(x >> 33 | 1)
     return out
@@ -92,11 +95,13 @@ def signatures(cut: DataFrame) -> DataFrame:
 
 
 def sketches(cut: DataFrame) -> DataFrame:
-    """(line_id, n, w0..) of lines (line_id, chars): n counts the shingles, with repeats; of the bits of the words each shingle sets the
-    one that its hash names."""
-    at = hashed(cut).select("line_id", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
-    each = at.groupBy("line_id", "at").agg(F.count("*").alias("n"), F.bit_or("bit").alias("word"))
-    return each.groupBy("line_id").agg(F.sum("n").alias("n"), *[F.expr(f"bit_or(if(at = {i}, word, 0L))").alias(f"w{i}") for i in range(WORDS)])
+    """(line_id, n, w0..) of lines (line_id, chars): n counts the different shingles; of the bits of the words each shingle sets the
+    one that its hash names. Lines that are dealt by line_id are not moved."""
+    sets = cut.select("line_id", shingle_set(F.decode("chars", "UTF-32")).alias("s")).select("line_id", F.size("s").cast("long").alias("n"), F.explode_outer("s").alias("s"))
+    at = sets.select("line_id", "n", F.xxhash64("s").alias("x"))
+    at = at.select("line_id", "n", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
+    each = at.groupBy("line_id", "at").agg(F.max("n").alias("n"), F.bit_or("bit").alias("word"))
+    return each.groupBy("line_id").agg(F.max("n").alias("n"), *[F.expr(f"bit_or(if(at = {i}, word, 0L))").alias(f"w{i}") for i in range(WORDS)])
 
 
 def near(a: str, b: str, threshold: float):
@@ -106,8 +111,14 @@ def near(a: str, b: str, threshold: float):
     return F.expr(f"({apart}) <= {(1 - threshold) / (1 + threshold)!r}D * ({a}n + {b}n) + 1e-9D")
 
 
+def met(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those rows of a table by line_id that are in a pair (a, b): the others are not moved for the joins."""
+    return table.join(small(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()), "line_id", "left_semi")
+
+
 def sketched(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) of line ids that can have the similarity by their sketches."""
+    sketch = met(sketch, pairs)
     for x in "ab":
         side = sketch.select(F.col("line_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sketch.columns[1:]])
         pairs = pairs.join(small(side, SKETCHES), x)
@@ -118,6 +129,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, line).
 
     The sets are cut from the lines after the join: they are eight times as large as the lines."""
+    texts = met(texts, pairs)
     left = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
     both = both.select("a", "b", F.lower("la").alias("ca"), F.lower("lb").alias("cb"))
@@ -129,10 +141,12 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def facing(each: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the lines ``each`` (band, line_id, root, sketch) of one bucket with other roots that can have the similarity."""
+    """Pairs (a, b) of the lines ``each`` (band, line_id, root, sketch) of one bucket with other roots that can have the similarity. Lines
+    that share several buckets make a pair in the first of them only."""
+    each = each.join(each.groupBy("line_id").agg(F.collect_set("band").alias("bands")), "line_id")
     a, b = (each.select(F.col("band").alias(f"{x}_band"), *[F.col(c).alias(f"{x}_{c}") for c in each.columns if c != "band"]) for x in "ab")
-    met = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_", threshold))
-    return met.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b"))
+    both = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_", threshold) & (F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_band")))
+    return both.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b"))
 
 
 def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -168,33 +182,44 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     distinct = whole(lines(docs, id_col, text_col, min_chars)).groupBy("line_id").agg(F.first("line").alias("line"))
     cut = distinct.select("line_id", characters(F.col("line")).alias("chars"))
     entry = work.table(signatures(cut), "bands")
+    work.release()
 
     heads = entry.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = work.table(entry.join(small(work.table(heads, "heads")), "band", "left_semi").select("band", "line_id"), "members")
     wanted = work.table(members.select("line_id").distinct(), "wanted")
     work.drop("bands")
+    work.release()
     texts = lines(docs, id_col, text_col, min_chars).select("line_id", "line").join(small(wanted), "line_id", "left_semi")
     texts = work.table(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts")
-    sketch = work.table(sketches(texts.select("line_id", characters(F.col("line")).alias("chars"))), "sketch")
+    work.release()
+    sketch = work.table(sketches(texts.repartition("line_id").select("line_id", characters(F.col("line")).alias("chars"))), "sketch")
+    work.release()
 
     # every line of a bucket is compared with the bucket's heads: reversible orders give them in one hash aggregation
-    masks = [c << 32 for c in constants()[:HEADS]]
-    split = members.groupBy("band").agg(F.count("*").alias("n"), *[F.min(F.col("line_id").bitwiseXOR(F.lit(m).cast("long"))).alias(f"h{i}") for i, m in enumerate(masks)])
-    heads = F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(m).cast("long")) for i, m in enumerate(masks)]))
-    heads = F.when(F.col("n") > 2, heads).otherwise(F.slice(heads, 1, 1))
-    split = work.table(split.select("band", "n", heads.alias("heads")), "split")
-    against = work.table(split.select("band", F.posexplode("heads").alias("at", "head")), "against")
+    def first_ones(df, masks):
+        each = df.groupBy("band").agg(F.count("*").alias("n"), *[F.min(F.col("line_id").bitwiseXOR(F.lit(m).cast("long"))).alias(f"h{i}") for i, m in enumerate(masks)])
+        return each.select("band", "n", F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(m).cast("long")) for i, m in enumerate(masks)])).alias("heads"))
+
+    masks = [c << 32 for c in constants(HEADS + MORE)]
+    heads = F.when(F.col("n") > 2, F.col("heads")).otherwise(F.slice("heads", 1, 1))
+    split = work.table(first_ones(members, masks[:HEADS]).select("band", "n", heads.alias("heads")), "split")
+    against = split.select("band", F.posexplode("heads").alias("at", "head"))
+    crowded = members.join(small(split.where(F.col("n") > CROWD).select("band")), "band", "left_semi")
+    against = against.unionByName(first_ones(crowded, masks[HEADS:]).select("band", F.lit(HEADS).alias("at"), F.explode("heads").alias("head")))
+    against = work.table(against, "against")
     # with the first head first; with the others only lines that are not yet in its component
     root, found = None, None
     for first in (True, False):
         if not first and against.where("at > 0").isEmpty():
             break
         pairs = members.join(small(against.where("at = 0" if first else "at > 0").select("band", "head")), "band").where("line_id <> head")
-        pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b"))
         for x in () if first else ("a", "b"):
             pairs = pairs.join(small(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-        pairs = pairs if first else pairs.where("ra <> rb").select("a", "b")
+        pairs = work.table((pairs if first else pairs.where("ra <> rb").select("a", "b")).distinct(), f"asked{int(first)}")
         more = work.table(similar(work.table(sketched(pairs, sketch, threshold), f"pairs{int(first)}"), texts, threshold), f"links{int(first)}")
+        work.drop(f"asked{int(first)}")
+        work.release()
         if not first and more.isEmpty():
             break
         found = more if first else root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
@@ -205,7 +230,8 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     placed = members.join(small(open_bands), "band", "left_semi").join(small(root), F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
     placed = work.table(placed, "placed")
     apart = work.table(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n"), "apart")
-    each = placed.join(small(apart.where(F.col("n") <= wide).select("band")), "band", "left_semi").join(small(sketch, SKETCHES), "line_id")
+    each = placed.join(small(apart.where(F.col("n") <= wide).select("band")), "band", "left_semi")
+    each = each.join(small(sketch.join(small(each.select("line_id").distinct()), "line_id", "left_semi"), SKETCHES), "line_id")
     left = work.table(placed.join(small(apart.where(F.col("n") > wide).select("band")), "band", "left_semi").select("line_id", "root").distinct(), "left")
     pairs = facing(work.table(each, "facing"), threshold)
     if not left.isEmpty():
@@ -213,6 +239,7 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     more = work.table(similar(work.table(pairs.distinct(), "pairs_left"), texts, threshold), "links_left")
     for name in ("facing", "sketch"):
         work.drop(name)
+    work.release()
     if not more.isEmpty():
         root = work.table(connected_components(work, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "cc_left"), "roots")
 

@@ -378,6 +378,43 @@ def test_line_sketches_drop_pairs_but_no_link(spark):
     assert {(r.u, r.v) for r in found.collect()} == true
 
 
+def test_line_sketches_count_different_shingles(spark):
+    """Lines that share only what they repeat go by their sketches: a repeated shingle counts once."""
+    rng = np.random.default_rng(9)
+    lines = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 300)) + "ab" * 2000 for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    sketch = line_dedup.sketches(df.select("line_id", line_dedup.characters(df["line"]).alias("chars"))).cache()
+    assert [r.n for r in sketch.collect()] == [len({x[i : i + 9] for i in range(len(x) - 8)}) for x in lines]
+    assert line_dedup.sketched(spark.createDataFrame([(0, 1)], "a long, b long"), sketch, 0.8).count() == 0
+
+
+def test_line_pairs_of_several_buckets_are_made_once(spark):
+    """Lines that meet in all their bands make one pair, and none where their roots are the same."""
+    words = [f"w{i}" for i in range(line_dedup.WORDS)]
+    rows = [(band, line, root, 9, *[0] * line_dedup.WORDS) for band in range(8) for line, root in ((1, 1), (2, 2), (3, 2))] + [(9, 4, 4, 9, *[0] * line_dedup.WORDS), (9, 1, 1, 9, *[0] * line_dedup.WORDS)]
+    each = spark.createDataFrame(rows, "band long, line_id long, root long, n long, " + ", ".join(f"{w} long" for w in words))
+    assert sorted(map(tuple, line_dedup.facing(each, 0.8).collect())) == [(1, 2), (1, 3), (1, 4)]
+
+
+def test_line_work_releases_shuffle_files(spark):
+    """Shuffle files of ended queries go while the driver lives."""
+    import os
+    import time
+
+    dirs = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: sum(n.startswith("shuffle_") for d in dirs for _, _, names in os.walk(d) for n in names)
+    work = Workspace(spark, "release")
+    work.release()
+    time.sleep(2)
+    before = held()
+    work.table(spark.range(10_000).repartition(7, "id"), "dealt")
+    work.release()
+    end = time.time() + 20
+    while held() > before and time.time() < end:
+        time.sleep(0.2)
+    assert held() <= before
+
+
 def test_line_buckets_of_any_size_find_the_same_links(spark):
     """Lines compared by twos in their bucket, and by their rarest shingles where buckets are too large for that."""
     rng = np.random.default_rng(3)
