@@ -368,3 +368,23 @@ def test_scores_move_ngrams_once(spark):
             want[r.id] = (len(r.words), round(sum(math.log((grams.get(g, 0) + 0.1) / (context.get(g[:-1], 0) + 0.1 * 4)) for g in at), 9))
         assert {r.id: (r.n_words, round(r.logprob, 9)) for r in p.collect()} == want
     assert ngrams.scored(ngrams.fit(train.limit(0), 2), s.where("id = 2")).first().n_words == 2
+
+
+def test_edges_of_repeated_keys_and_long_texts_without_a_join_of_substrings(spark):
+    """Edges and their sums against a plain search, in texts longer than a piece, with keys that repeat; no substring is moved, and the
+    words go to the tasks as numbers whatever the limit for words."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["a", "i", "b", "ab", "abc", "ba", "cab", "x" * 20, "y" * 21, "caba"]
+    texts = [(1, "".join("abcx"[int(c)] for c in rng.integers(0, 4, 700))), (2, "x" * 45 + "y" * 30), (3, "abcab"), (3, "zzabcab"), (None, "é😀abc"), (4, "")]
+    known, places = {w for w in vocabulary if (len(w) > 1 or w in "ai") and len(w) <= 20}, {}
+    for key, t in texts:
+        for lo in range(len(t)):
+            places.setdefault((key, lo), []).append([lo + k for k in range(1, 21) if lo + k <= len(t) and t[lo : lo + k] in known])
+    want = sorted(((key, lo, hi) for (key, lo), ends in places.items() for hi in (sum(ends, []) if any(ends) else [lo + 1] * len(ends))), key=str)
+    df, words = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    assert sorted(map(tuple, spell.dictionary_edges(df, ["doc_id"], words).collect()), key=str) == want
+    sums = spell.edge_totals(df, ["doc_id"], words)
+    got = {r.doc_id: (r.n_edges, r.digest) for r in sums.collect()}
+    assert got == {key: (sum(k == key for k, _, _ in want), sum(lo * 31 + hi for k, lo, hi in want if k == key)) for key in {k for k, _, _ in want}}
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
