@@ -370,6 +370,37 @@ def test_scores_move_ngrams_once(spark):
     assert ngrams.scored(ngrams.fit(train.limit(0), 2), s.where("id = 2")).first().n_words == 2
 
 
+def test_transition_steps_equal_states_and_are_linear(spark):
+    """The features and moves without states against those of all states; equal trees counted once give the same model rows and scores;
+    a sentence of 20,000 words takes no copy of its states."""
+    import time
+
+    from lexweave.operators import deps
+
+    rng, trees = np.random.default_rng(5), []
+    for n in [1, 2, 3, *rng.integers(1, 12, 40)]:
+        pos = [("DT", "NN")[int(x)] for x in rng.integers(0, 2, int(n))]
+        trees.append((pos, [0 if i == n else i + 1 if p == "DT" else int(n) for i, p in enumerate(pos, 1)], ["root" if i == n else "det" if p == "DT" else "obl" for i, p in enumerate(pos, 1)]))
+    trees += trees[:9] + [(["A", "B", "C", "D"], [3, 4, 0, 3], ["a", "b", "root", "c"])]
+    for pos, head, rel in trees[:-1]:
+        heads, tags = dict(enumerate(zip(head, rel, strict=True), 1)), dict(enumerate(pos, 1))
+        assert D.steps(heads, tags) == [(D.features(s, tags), m) for s, m in D.oracle(heads)]
+    with pytest.raises(ValueError):
+        D.steps(dict(enumerate(zip(*trees[-1][1:], strict=True), 1)), dict(enumerate(trees[-1][0], 1)))
+    rows = spark.createDataFrame([(k, i, p, h, r) for k, t in enumerate(trees) for i, (p, h, r) in enumerate(zip(*t, strict=True), 1)], "sent_id long, id int, pos string, head int, deprel string")
+    alike = deps.alike(spark.createDataFrame(trees, "pos array<string>, head array<int>, deprel array<string>")).cache()
+    assert alike.count() < len(trees)
+    count = lambda df, n: {tuple(r)[:-1]: r[-1] for r in df.groupBy(*deps.FEATURES, "transition").agg(n.alias("n")).collect()}
+    assert count(deps.counted_rows(alike), F.sum("times")) == count(deps.training_rows(rows), F.count("*"))
+    choose = spark.sparkContext.broadcast(deps.train(deps.counted_rows(alike)))
+    want = evaluate.micro_attachment(evaluate.attachment(rows, deps.parse(rows, choose))).first()
+    assert evaluate.micro_attachment(deps.attached(alike, choose)).first() == want and want.n_tokens > 0
+    n, began = 20_000, time.time()
+    steps = D.steps({i: (n if i < n else 0, "obl") for i in range(1, n + 1)}, dict.fromkeys(range(1, n + 1), "NN"))
+    assert len(steps) == 2 * n and len(D.parse(dict.fromkeys(range(1, n + 1), "NN"), lambda f: "SHIFT" if f[2] != "NONE" else "LEFT-ARC(obl)" if f[1] != "ROOT" else "RIGHT-ARC(root)")) == n
+    assert time.time() - began < 5
+
+
 def test_edges_of_repeated_keys_and_long_texts_without_a_join_of_substrings(spark):
     """Edges and their sums against a plain search, in texts longer than a piece, with keys that repeat; no substring is moved, and the
     words go to the tasks as numbers whatever the limit for words."""
