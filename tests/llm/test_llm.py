@@ -143,6 +143,23 @@ def test_pii_decoding_equals_plain_viterbi():
         assert path[::-1] == got.tolist()
 
 
+def test_pii_kinds_of_words_between_signs(monkeypatch):
+    """Words whose letters stand between signs go the short way to the kinds that their features give; words part where the patterns'
+    spaces are."""
+    crf, rng = pii.CRF().fit(pii.labelled(), steps=2), np.random.default_rng(13)
+    cores = ["and", "AND", "token", "Token", "I", "größe", "ÜBER", "İstanbul", "日本語", "internationally", "Abcdefabcdefabcdef", "a" * 45, "x1", "a_b", "don't", "٣", ""]
+    words = ["".join(rng.choice(list(pii._SIGNS + "_“"), int(rng.integers(0, 4)))) + str(rng.choice(cores)) + "".join(rng.choice(list(pii._SIGNS + "_“"), int(rng.integers(0, 30)))) for _ in range(4000)]
+    for w in words:
+        if w:
+            assert crf.kind(w) == crf._kind(w) == crf.kind(w), w
+    crf.kind("maple,")
+    asked = []
+    monkeypatch.setattr(crf, "_kind", asked.append)
+    assert crf.kind("birch,") == crf.kind("cedar,") and not asked
+    every = "".join(f"a{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert every.split() == pii._WORD.findall(every)
+
+
 def test_pii_held_out():
     """Personal data of forms that the table has, in sentences and with values that it has not: found; ordinary text: left alone."""
     rng = np.random.default_rng(10)
