@@ -59,6 +59,12 @@ def shingle_set(low):
     return F.array_distinct(F.when(F.length(low) < WIDTH, F.array(low)).otherwise(F.flatten(F.array(*runs))))
 
 
+def shingle_hashes(chars):
+    """Distinct 64-bit hashes of the shingles of a line in four bytes a character. The outer lambda holds the characters: as a column they
+    would be copied for each place, which takes seven times as long."""
+    return F.array_distinct(F.flatten(F.transform(F.array(chars), lambda c: F.transform(places(c), lambda i: shingle(c, i)))))
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_doc, _key, _no, line, line_id) of every line that can be a duplicate; _key tells documents apart that share an id."""
     text = F.col(quoted(text_col))
@@ -97,18 +103,25 @@ def signatures(cut: DataFrame) -> DataFrame:
 def sketches(cut: DataFrame) -> DataFrame:
     """(line_id, n, w0..) of lines (line_id, chars): n counts the different shingles; of the bits of the words each shingle sets the
     one that its hash names. Lines that are dealt by line_id are not moved."""
-    sets = cut.select("line_id", shingle_set(F.decode("chars", "UTF-32")).alias("s")).select("line_id", F.size("s").cast("long").alias("n"), F.explode_outer("s").alias("s"))
-    at = sets.select("line_id", "n", F.xxhash64("s").alias("x"))
-    at = at.select("line_id", "n", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
+    sets = cut.select("line_id", shingle_hashes(F.col("chars")).alias("s")).select("line_id", F.size("s").cast("long").alias("n"), F.explode_outer("s").alias("x"))
+    at = sets.select("line_id", "n", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
     each = at.groupBy("line_id", "at").agg(F.max("n").alias("n"), F.bit_or("bit").alias("word"))
     return each.groupBy("line_id").agg(F.max("n").alias("n"), *[F.expr(f"bit_or(if(at = {i}, word, 0L))").alias(f"w{i}") for i in range(WORDS)])
 
 
+def packed(sketch: DataFrame) -> DataFrame:
+    """A table with the words of sketches in one column w. As many columns make methods too long for the JVM to compile."""
+    words = [f"w{i}" for i in range(WORDS)]
+    return sketch.select(*[c for c in sketch.columns if c not in words], F.array(*words).alias("w"))
+
+
 def near(a: str, b: str, threshold: float):
-    """Whether lines can have the similarity, by their sketches in columns with these prefixes. Sets of n and m shingles that do differ by
-    at most (1 - t) / (1 + t) (n + m) shingles, and a bit that one sketch alone has is of a shingle that one set alone has: no pair is lost."""
-    apart = " + ".join(f"bit_count({a}w{i} ^ {b}w{i})" for i in range(WORDS))
-    return F.expr(f"({apart}) <= {(1 - threshold) / (1 + threshold)!r}D * ({a}n + {b}n) + 1e-9D")
+    """Whether lines can have the similarity, by their sizes and sketches in columns n and w with these prefixes. Sets of n and m shingles
+    that do are of sizes at least so similar and differ by at most (1 - t) / (1 + t) (n + m) shingles, and a bit that one sketch alone has
+    is of a shingle that one set alone has: no pair is lost."""
+    sizes = f"least({a}n, {b}n) >= {threshold!r}D * greatest({a}n, {b}n) - 1e-9D"
+    apart = f"aggregate(zip_with({a}w, {b}w, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return F.expr(f"{sizes} and {apart} <= {(1 - threshold) / (1 + threshold)!r}D * ({a}n + {b}n) + 1e-9D")
 
 
 def met(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -118,7 +131,7 @@ def met(table: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def sketched(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) of line ids that can have the similarity by their sketches."""
-    sketch = met(sketch, pairs)
+    sketch = packed(met(sketch, pairs))
     for x in "ab":
         side = sketch.select(F.col("line_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sketch.columns[1:]])
         pairs = pairs.join(small(side, SKETCHES), x)
@@ -126,23 +139,38 @@ def sketched(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of line ids whose shingle sets have at least the Jaccard similarity; texts: (line_id, line).
+    """Pairs (a, b) of line ids whose shingle sets (as hashes of 64 bits) have at least the Jaccard similarity; texts: (line_id, line).
 
     The sets are cut from the lines after the join: they are eight times as large as the lines."""
     texts = met(texts, pairs)
     left = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
     both = left.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", F.lower("la").alias("ca"), F.lower("lb").alias("cb"))
-    both = both.select("a", "b", shingle_set(F.col("ca")).alias("sa"), shingle_set(F.col("cb")).alias("sb"))
+    both = both.select("a", "b", shingle_hashes(characters(F.col("la"))).alias("sa"), shingle_hashes(characters(F.col("lb"))).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     # as a generator, which the optimiser does not push down: a filter would work out the sets anew for every place
     fits = F.when(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.explode_outer(fits).alias("fits")).where("fits = 1").select("u", "v")
 
 
+def facing_heads(members: DataFrame, heads: DataFrame, root: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of the lines of buckets ``members`` (band, line_id) with their buckets' ``heads`` (band, head); where components ``root``
+    (node, root) are given, only of lines in others than the head's, and each in the first bucket that both meet in: a large group that is
+    joined by then makes no row, one that is not a row for each pair."""
+    if root is None:
+        pairs = members.join(small(heads), "band").where("line_id <> head")
+    else:
+        at = lambda df, x, r: df.join(small(root.select(F.col("node").alias(x), F.col("root").alias("_r"))), x, "left").withColumn(r, F.coalesce("_r", x)).drop("_r")
+        sets = lambda df, x, s: df.join(df.groupBy(x).agg(F.collect_set("band").alias(s)), x)
+        left, right = at(sets(members, "line_id", "_in"), "line_id", "_a"), at(sets(heads, "head", "_of"), "head", "_b")
+        once = F.array_min(F.array_intersect("_in", "_of")) == left["band"]
+        pairs = left.join(right, (left["band"] == right["band"]) & (F.col("_a") != F.col("_b")) & once)
+    return pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b"))
+
+
 def facing(each: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of the lines ``each`` (band, line_id, root, sketch) of one bucket with other roots that can have the similarity. Lines
     that share several buckets make a pair in the first of them only."""
+    each = packed(each)
     each = each.join(each.groupBy("line_id").agg(F.collect_set("band").alias("bands")), "line_id")
     a, b = (each.select(F.col("band").alias(f"{x}_band"), *[F.col(c).alias(f"{x}_{c}") for c in each.columns if c != "band"]) for x in "ab")
     both = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_", threshold) & (F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_band")))
@@ -156,9 +184,8 @@ def sharing(work: Workspace, left: DataFrame, texts: DataFrame, threshold: float
     how many of every ``SAMPLE``-th line hold a shingle, then by its hash: any order is exact, and this one puts the common ones last
     without counting all. Where the first shared one stands in both bounds how many can be shared, which drops most pairs before
     they are made. A line's shingles are ranked where they are cut, so only the first ones are moved."""
-    each = left.join(texts, "line_id").repartition("line_id").select("line_id", "root", F.lower("line").alias("low"))
-    each = each.select("line_id", "root", shingle_set(F.col("low")).alias("s")).select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("s"))
-    each = each.select("line_id", "root", "n", F.xxhash64("s").alias("shingle"))
+    each = left.join(texts, "line_id").repartition("line_id").select("line_id", "root", shingle_hashes(characters(F.col("line"))).alias("s"))
+    each = each.select("line_id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("shingle"))
     common = each.where(F.pmod(F.xxhash64("line_id"), F.lit(SAMPLE)) == 0).groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     common = work.table(common, "common")
     by = Window.partitionBy("line_id").orderBy(F.coalesce("df", F.lit(0)), "shingle")
@@ -212,11 +239,8 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     for first in (True, False):
         if not first and against.where("at > 0").isEmpty():
             break
-        pairs = members.join(small(against.where("at = 0" if first else "at > 0").select("band", "head")), "band").where("line_id <> head")
-        pairs = pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b"))
-        for x in () if first else ("a", "b"):
-            pairs = pairs.join(small(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-        pairs = work.table((pairs if first else pairs.where("ra <> rb").select("a", "b")).distinct(), f"asked{int(first)}")
+        pairs = facing_heads(members, against.where("at = 0" if first else "at > 0").select("band", "head"), root)
+        pairs = work.table(pairs.distinct(), f"asked{int(first)}")
         more = work.table(similar(work.table(sketched(pairs, sketch, threshold), f"pairs{int(first)}"), texts, threshold), f"links{int(first)}")
         work.drop(f"asked{int(first)}")
         work.release()

@@ -413,6 +413,30 @@ def test_line_pairs_of_several_buckets_are_made_once(spark):
     assert sorted(map(tuple, line_dedup.facing(each, 0.8).collect())) == [(1, 2), (1, 3), (1, 4)]
 
 
+def test_line_groups_joined_before_make_no_row_with_their_heads(spark):
+    """Lines in their head's component make no row of a join; pairs of others are the same as by comparing all."""
+    joined, heads = [(band, line) for band in range(8) for line in range(500)], [(band, head) for band in range(8) for head in (0, 1, 2)]
+    members = spark.createDataFrame([*joined, *((band, line) for band in (9, 10) for line in (3, 700, 701))], "band long, line_id long")
+    against = spark.createDataFrame([*heads, (9, 700), (9, 701), (10, 700)], "band long, head long")
+    root = spark.createDataFrame([(line, 0) for line in range(500)] + [(701, 700), (700, 700)], "node long, root long")
+    pairs = line_dedup.facing_heads(members, against, root)
+    assert sorted(map(tuple, pairs.collect())) == [(3, 700), (3, 701)]
+    first = line_dedup.facing_heads(members, against.where("head in (0, 700)"), None)
+    assert {tuple(r) for r in first.collect()} == {(0, x) for x in range(1, 500)} | {(3, 700), (700, 701)}
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert sum("Inner" in x and "NOT (_a" in x and "array_min" in x for x in joins) == 1, joins
+
+
+def test_line_shingle_hashes_are_those_of_all_places(spark):
+    """The hashes that links are decided by, against the shingles one by one; a sketch's columns are packed before they are compared."""
+    lines = ["", "ab", "Ab cd \U0001f600 efg hi", "abcdefghi", "x" * 40, "größe ist 日本語の長い行 und mehr", "word and more " * 30]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").select("line_id", "line", line_dedup.characters(line_dedup.F.col("line")).alias("chars"))
+    got = {r.line_id: sorted(r.s) for r in df.select("line_id", line_dedup.shingle_hashes(line_dedup.F.col("chars")).alias("s")).collect()}
+    each = line_dedup.hashed(df.select("line_id", "chars")).distinct().collect()
+    assert got == {i: sorted(r.x for r in each if r.line_id == i) for i in range(len(lines))}
+    assert [len(got[i]) for i in range(len(lines))] == [len({x.lower()[k : k + 9] for k in range(max(1, len(x) - 8))}) for x in lines]
+
+
 def test_line_work_releases_shuffle_files(spark):
     """Shuffle files of ended queries go while the driver lives."""
     import os
