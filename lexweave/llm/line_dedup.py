@@ -8,7 +8,7 @@ being more alike where another is less, fewer are missed, and of short lines, wh
 equal, none (the tests measure this on lines). Every line of a band's bucket is compared with a few of them; then all lines of a
 bucket that links have not joined are compared with each other, in very large buckets those that share one of their rarest shingles,
 as any similar enough must. A pair whose sketches differ in more bits than such sets can differ in shingles is no link; of the others
-the exact Jaccard similarity of all their shingles decides. Links are closed by distributed union-find, and of each component the first line (by
+the Jaccard similarity of all their shingles, as hashes of 64 bits, decides. Links are closed by distributed union-find, and of each component the first line (by
 document, then place) stays.
 """
 
