@@ -152,18 +152,25 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.explode_outer(fits).alias("fits")).where("fits = 1").select("u", "v")
 
 
-def facing_heads(members: DataFrame, heads: DataFrame, root: DataFrame | None) -> DataFrame:
+def facing_heads(members: DataFrame, heads: DataFrame, root: DataFrame | None, sketch: DataFrame | None = None, threshold: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of the lines of buckets ``members`` (band, line_id) with their buckets' ``heads`` (band, head); where components ``root``
     (node, root) are given, only of lines in others than the head's, and each in the first bucket that both meet in: a large group that is
-    joined by then makes no row, one that is not a row for each pair."""
+    joined by then makes no row, one that is not a row for each pair. With a ``sketch`` only pairs that can have the similarity by it are
+    made: it is looked at in the join, so that a large group of lines that are not so alike makes no row either."""
     if root is None:
         pairs = members.join(small(heads), "band").where("line_id <> head")
     else:
         at = lambda df, x, r: df.join(small(root.select(F.col("node").alias(x), F.col("root").alias("_r"))), x, "left").withColumn(r, F.coalesce("_r", x)).drop("_r")
         sets = lambda df, x, s: df.join(df.groupBy(x).agg(F.collect_set("band").alias(s)), x)
+        members = members.join(small(heads.select("band").distinct()), "band", "left_semi")
         left, right = at(sets(members, "line_id", "_in"), "line_id", "_a"), at(sets(heads, "head", "_of"), "head", "_b")
-        once = F.array_min(F.array_intersect("_in", "_of")) == left["band"]
-        pairs = left.join(right, (left["band"] == right["band"]) & (F.col("_a") != F.col("_b")) & once)
+        fits = F.array_min(F.array_intersect("_in", "_of")) == left["band"]
+        if sketch is not None:
+            some = packed(sketch.join(small(members.select("line_id").distinct()), "line_id", "left_semi"))
+            side = lambda x, p: some.select(F.col("line_id").alias(x), *[F.col(c).alias(f"{p}_{c}") for c in some.columns[1:]])
+            left, right = left.join(side("line_id", "m"), "line_id"), right.join(side("head", "h"), "head")
+            fits = fits & near("m_", "h_", threshold)
+        pairs = left.join(right, (left["band"] == right["band"]) & (F.col("_a") != F.col("_b")) & fits)
     return pairs.select(F.least("head", "line_id").alias("a"), F.greatest("head", "line_id").alias("b"))
 
 
@@ -239,10 +246,11 @@ def duplicate_lines(work: Workspace, docs: DataFrame, threshold: float = SIMILAR
     for first in (True, False):
         if not first and against.where("at > 0").isEmpty():
             break
-        pairs = facing_heads(members, against.where("at = 0" if first else "at > 0").select("band", "head"), root)
-        pairs = work.table(pairs.distinct(), f"asked{int(first)}")
-        more = work.table(similar(work.table(sketched(pairs, sketch, threshold), f"pairs{int(first)}"), texts, threshold), f"links{int(first)}")
-        work.drop(f"asked{int(first)}")
+        pairs = facing_heads(members, against.where("at = 0" if first else "at > 0").select("band", "head"), root, sketch, threshold).distinct()
+        if first:
+            pairs = sketched(work.table(pairs, "asked"), sketch, threshold)
+        more = work.table(similar(work.table(pairs, f"pairs{int(first)}"), texts, threshold), f"links{int(first)}")
+        work.drop("asked")
         work.release()
         if not first and more.isEmpty():
             break

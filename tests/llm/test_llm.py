@@ -427,6 +427,22 @@ def test_line_groups_joined_before_make_no_row_with_their_heads(spark):
     assert sum("Inner" in x and "NOT (_a" in x and "array_min" in x for x in joins) == 1, joins
 
 
+def test_line_pairs_with_heads_that_sketches_tell_apart_make_no_row(spark):
+    """A large group that shares its buckets, but is not alike, makes no row with its heads; pairs that can be links are all made."""
+    rng = np.random.default_rng(12)
+    base = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 200)) for _ in range(60)]
+    lines = dict(enumerate([*base, *(x[:150] + "#" + x[151:] for x in base[:5])]))
+    df = spark.createDataFrame(list(lines.items()), "line_id long, line string")
+    sketch = line_dedup.sketches(df.select("line_id", line_dedup.characters(df["line"]).alias("chars"))).cache()
+    members = spark.createDataFrame([(band, x) for band in range(8) for x in lines], "band long, line_id long")
+    against = spark.createDataFrame([(band, head) for band in range(8) for head in range(15)], "band long, head long")
+    root = spark.createDataFrame([(0, 0), (60, 0)], "node long, root long")  # joined before: makes no row
+    pairs = line_dedup.facing_heads(members, against, root, sketch, 0.8)
+    assert sorted(map(tuple, pairs.collect())) == [(i, 60 + i) for i in range(1, 5)]
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "NOT (_a" in x]
+    assert len(joins) == 1 and "bit_count" in joins[0], joins
+
+
 def test_line_shingle_hashes_are_those_of_all_places(spark):
     """The hashes that links are decided by, against the shingles one by one; a sketch's columns are packed before they are compared."""
     lines = ["", "ab", "Ab cd \U0001f600 efg hi", "abcdefghi", "x" * 40, "größe ist 日本語の長い行 und mehr", "word and more " * 30]
