@@ -105,8 +105,9 @@ def sketches(cut: DataFrame) -> DataFrame:
     one that its hash names. Lines that are dealt by line_id are not moved."""
     sets = cut.select("line_id", shingle_hashes(F.col("chars")).alias("s")).select("line_id", F.size("s").cast("long").alias("n"), F.explode_outer("s").alias("x"))
     at = sets.select("line_id", "n", F.expr(f"cast(shiftrightunsigned(x, 9) & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 3) & 63 as int))").alias("bit"))
-    each = at.groupBy("line_id", "at").agg(F.max("n").alias("n"), F.bit_or("bit").alias("word"))
-    return each.groupBy("line_id").agg(F.max("n").alias("n"), *[F.expr(f"bit_or(if(at = {i}, word, 0L))").alias(f"w{i}") for i in range(WORDS)])
+    # by eights first: as many columns as words make a method too long for the JVM to compile, so it is to see few rows
+    each = at.groupBy("line_id", F.expr("at div 8").alias("part")).agg(F.max("n").alias("n"), *[F.expr(f"bit_or(if(at % 8 = {i}, bit, 0L))").alias(f"p{i}") for i in range(8)])
+    return each.groupBy("line_id").agg(F.max("n").alias("n"), *[F.expr(f"bit_or(if(part = {i // 8}, p{i % 8}, 0L))").alias(f"w{i}") for i in range(WORDS)])
 
 
 def packed(sketch: DataFrame) -> DataFrame:
