@@ -419,3 +419,40 @@ def test_edges_of_repeated_keys_and_long_texts_without_a_join_of_substrings(spar
     assert got == {key: (sum(k == key for k, _, _ in want), sum(lo * 31 + hi for k, lo, hi in want if k == key)) for key in {k for k, _, _ in want}}
     plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_packed_perplexities_are_those_of_the_joins(spark, monkeypatch):
+    from lexweave.operators import packed
+
+    monkeypatch.setattr(packed.chunks, "__defaults__", (3,))  # chunks of three words
+    train = [["a", "b", "a"], ["b", "b"], ["</s>x", "a"], ["a", "b", "a"]]
+    ask = [["a", "b"], [], ["zz", "a", "b", "a", "zz"], ["b"], ["a", "b"]]
+    rows = [(None, w, True, False) for w in train] + [(i, w, False, True) for i, w in enumerate(ask)] + [(9, ["a", "zz"], True, True)]
+    rows = spark.createDataFrame(rows, "id long, words array<string>, counted boolean, asked boolean").repartition(3)
+    for part in (rows, rows.where("asked and not counted"), rows.where("counted and not asked")):
+        got = {r.id: (r.tri, r.bi) for r in packed.perplexities(part, {"tri": (3, 0.1), "bi": (2, 0.01)}).collect()}
+        t, s = part.where("counted").select("words"), part.where("asked").select("id", "words")
+        for i, (n, k) in enumerate(((3, 0.1), (2, 0.01))):
+            want = {r.id: r.perplexity for r in ngrams.perplexity(ngrams.fit(t, n, k), s).collect()}
+            assert {x: v[i] for x, v in got.items()} == pytest.approx(want)
+
+
+def test_passage_sentences_and_scores_move_no_ngrams_as_strings(spark):
+    from lexweave import catalog
+
+    for name in ("passage_scores", "passage_report"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "w1" not in plan and "MapInArrow" in plan
+
+
+def test_passages_of_one_key_are_one_text(spark):
+    from lexweave.operators import passage
+
+    rows = [(1, "One two. Three four", ["One", "two", ".", "Three", None, "four"], ["A", "B", "."]), (2, "", [], []), (3, "x. y", ["x", "."], ["A", "."]), (3, "y! z", ["y", "!"], ["B", "."]), (4, "!", ["!"], ["."])]
+    p = spark.createDataFrame(rows, "id long, text string, tokens array<string>, tags array<string>")
+    got = {(r.id, r.sentence_index): (sorted(r.tokens), r.tags) for r in passage.split_sentences(p, ["id"]).collect()}
+    assert got[1, 1] == ([".", "One", "two"], ["A", "B", "."]) and got[1, 2] == (["Three", "four"], ["NN", "NN"])
+    assert got[4, 1] == (["!"], ["."]) and not any(k == 2 for k, _ in got)
+    assert sum(len(t) for (k, _), (t, _) in got.items() if k == 3) == 4
+    want = {(r.id, r.sentence_index): r.trigram_perplexity for r in passage.scores(passage.split_sentences(p, ["id"]), ["id", "sentence_index"], ngrams.sentences(p.select(F.col("id").alias("doc_id"), "text"), None)).collect()}
+    assert {(r.id, r.sentence_index): r.trigram_perplexity for r in passage.own_scores(p, ["id"]).collect()} == pytest.approx(want)
