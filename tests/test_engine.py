@@ -456,3 +456,14 @@ def test_passages_of_one_key_are_one_text(spark):
     assert sum(len(t) for (k, _), (t, _) in got.items() if k == 3) == 4
     want = {(r.id, r.sentence_index): r.trigram_perplexity for r in passage.scores(passage.split_sentences(p, ["id"]), ["id", "sentence_index"], ngrams.sentences(p.select(F.col("id").alias("doc_id"), "text"), None)).collect()}
     assert {(r.id, r.sentence_index): r.trigram_perplexity for r in passage.own_scores(p, ["id"]).collect()} == pytest.approx(want)
+
+
+def test_corruption_detection_adds_up_sentences_of_one_id(spark, tmp_path):
+    d = spark.read.parquet(f"{DIR}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(20)
+    d.withColumn("doc_id", F.col("doc_id") % 7).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["corruption_detection"](spark, str(tmp_path))
+    assert "w1" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = c.sql(catalog.ORACLE_SQL["corruption_detection"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
